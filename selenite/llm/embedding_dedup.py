@@ -158,7 +158,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, tables: int
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     at = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
     large = shared.where(F.col("m") > SMALL).select("bucket", "node", chunk.alias("chunk"), F.explode(at).alias("at")).select("bucket", "node", "chunk", "at.i", "at.j")
-    blocks = large.join(keyed, "node").groupBy("bucket", "i", "j").applyInPandas(partial(_block, least=least), "a long, b long, n long")
+    blocks = large.join(keyed, "node").groupBy("bucket", "i", "j").applyInPandas(lambda frame: _block(frame, least), "a long, b long, n long")
     links = materialize(both.unionByName(blocks), "links")
 
     roots = connected_components(links.where("b is not null").select("a", "b"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, pii, quality, sharding, warc
+from . import decontamination, embedding_dedup, mixing, pii, quality, sharding, suffix_dedup, warc
 from .common import fresh_path, read_table
 from .ngram_join import ngram_components
 
@@ -40,11 +40,23 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items of which it holds passages."""
+    out = decontamination.marked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.9 on three-word shingles."""
     return ngram_components(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by strings of 200 bytes that occur elsewhere."""
+    found = suffix_dedup.repeated_removed(read_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of four kinds of personal data and of the terms that disclose them."""
     found = pii.personal_spans(read_table(spark, sf_dir, "documents"))
@@ -58,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_cross_polytope": op5_cross_polytope,
+    "op6_decontaminate": op6_decontaminate,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_sanitise_pii": op10_sanitise_pii,
 }
 
