@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, mixing, pii, quality, sharding, suffix_dedup, warc
+from . import decontamination, embedding_dedup, html_extraction, mixing, pii, quality, sharding, suffix_dedup, warc
 from .common import fresh_path, read_table
 from .ngram_join import ngram_components
 
@@ -57,6 +57,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extraction.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op10_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of four kinds of personal data and of the terms that disclose them."""
     found = pii.personal_spans(read_table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_html_wrappers": op9_html_wrappers,
     "op10_sanitise_pii": op10_sanitise_pii,
 }
 
