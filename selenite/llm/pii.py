@@ -11,7 +11,7 @@ the start of its run or at the end of the last match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -29,22 +29,24 @@ _MAYBE = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[
 TERM = r"[\p{L}\p{N}]+"
 #: Characters on either side of an entity in which terms are looked at; bits of the filter for the terms to be counted.
 NEAR, FILTER_WORDS = 80, 1 << 17
-_SPAN = "array<struct<kind:string,start:int,end:int,hit:string>>"
+_HIT = "array<struct<kind:string,i:int,gap:int,hit:string,left:string,right:string>>"
 
 
-def _found(text: Column, pattern: str, kind: Column, at: Column) -> Column:
-    """Matches of pattern as spans: the gaps between them give their places. at is added to the offsets."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(F.length(g).alias("g"), h.alias("h")))
-    start = F.struct(at.cast("int").alias("pos"), F.array().cast(_SPAN).alias("out"))
+def _hits(text: Column, kind: str) -> Column:
+    """Matches of a kind's pattern, each with the length of the text before it and the text near it on either side."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.coalesce(x["g"], F.lit(0))
-        end = (begin + F.coalesce(F.length(x["h"]), F.lit(0))).cast("int")
-        one = F.array(F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), x["h"].alias("hit")))
-        return F.struct(end.alias("pos"), F.when(x["h"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def sides(gap: Column, i: Column) -> Column:
+        return F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(NEAR + 1)).alias("left"), F.substring(F.get(gaps, i + 1), 1, NEAR + 1).alias("right"))
+
+    def hit(h: Column, g: Column) -> Column:
+        return F.struct(h.alias("hit"), g.alias("g"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def row(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["g"]["gap"].alias("gap"), x["hit"].alias("hit"), x["g"]["left"].alias("left"), x["g"]["right"].alias("right"))
+
+    pairs = F.zip_with(hits, F.slice(F.transform(gaps, sides), F.lit(1), F.size(hits)), hit)
+    return F.when(_MAYBE[kind](text), F.transform(pairs, row)).otherwise(F.array().cast(_HIT))
 
 
 def _luhn(digits: Column) -> Column:
@@ -68,41 +70,31 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _checked(kind: str):
-    return lambda x: _valid(kind, x["hit"])
-
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-def base_spans(text: Column) -> Column:
-    """The spans of the four kinds, by start and then kind as listed; code points, ends exclusive."""
-    parts = []
-    for kind in KINDS:
-        spans = F.filter(_found(text, PATTERNS[kind], F.lit(kind), F.lit(0)), _checked(kind))
-        parts.append(F.when(_MAYBE[kind](text), spans).otherwise(F.array().cast(_SPAN)))
-    rank = lambda x: F.struct(x["start"], F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["end"], x["hit"], x["kind"])
-    by_start = F.array_sort(F.transform(F.concat(*parts), rank))
-    return F.transform(by_start, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
 
+def _terms(text: Column, base: Column, cut_first: Column, cut_last: Column) -> Column:
+    """Terms of three letters and more in a short text that begins at base, but not those at a cut end of it."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(F.length(g).alias("g"), h.alias("h")))
+    start = F.struct(base.cast("int").alias("pos"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
 
-def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["pos"] + x["g"]
+        end = (begin + F.length(x["h"])).cast("int")
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.lower(x["h"]).alias("term")))).alias("out"))
 
+    def whole(t: Column) -> Column:
+        return (F.length(t["term"]) >= 3) & ~(cut_first & (t["start"] == base)) & ~(cut_last & (t["end"] == base + F.length(text)))
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms within NEAR characters of a span, with their places; words cut at the window's ends are left out."""
-    left_at = F.greatest(span["start"] - NEAR, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    before = _found(left, TERM, F.lit("term"), left_at)
-    after = _found(right, TERM, F.lit("term"), span["end"])
-    whole_left = F.filter(before, lambda x: ((x["start"] > left_at) | (left_at == 0)) & (x["end"] < span["start"]))
-    whole_right = F.filter(after, lambda x: (x["start"] > span["end"]) & ((x["end"] < span["end"] + NEAR) | (x["end"] == F.length(text))))
-    return F.filter(F.concat(whole_left, whole_right), lambda x: F.length(x["hit"]) >= 3)
+    return F.filter(F.aggregate(pairs, start, step, lambda acc: acc["out"]), whole)
 
 
 def _among(terms: DataFrame) -> Column:
     """A fixed-size bit table of the terms, as a scalar: a filter that lets some others pass."""
     h = F.pmod(F.xxhash64("term"), F.lit(FILTER_WORDS * 64))
-    bits = terms.select(F.floor(h / 64).alias("id"), F.shiftleft(F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bit"))
+    bits = terms.select(F.floor(h / 64).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bit"))
     every = terms.sparkSession.range(FILTER_WORDS).join(bits, "id", "left").select("id", F.coalesce("bit", F.lit(0)).alias("bit"))
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bit"))), lambda x: x["bit"]).alias("bits")).scalar()
 
@@ -118,31 +110,47 @@ def personal_spans(docs: DataFrame, threshold: float = 0.8, least: int = 2) -> D
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", text.alias("text"))
-    spans = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["hit"].alias("hit"), _near(F.col("text"), x).alias("terms")))
-    spans = materialize(spans.select("key", "doc_id", "base", F.when(F.size("base") > 0, near).alias("near")), "spans")
-    n_docs = spans.count()
-
-    value = F.when(F.col("x.kind") == "email", F.lower("x.hit")).when(F.col("x.kind").isin("card", "phone"), F.regexp_replace("x.hit", "[^0-9]", "")).otherwise(F.col("x.hit"))
-    entities = spans.where("near is not null").select("key", "base", F.explode("near").alias("x")).select("key", "base", F.concat_ws(":", "x.kind", value).alias("entity"), "x.terms")
-    clear = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    seen = materialize(entities.select("key", "entity", F.explode(clear).alias("t")).select("key", "entity", F.lower("t.hit").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")), "seen")
+    found = materialize(rows.select("key", "doc_id", F.concat(*(_hits(F.col("text"), kind) for kind in KINDS)).alias("hits")), "hits")
+    n_docs = found.count()
+
+    # Places: the gaps and matches of a row's kind, summed in order.
+    once = found.where(F.size("hits") > 0).dropDuplicates(["key"]).select("key", F.inline("hits"))
+    upto = Window.partitionBy("key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = once.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(upto).cast("int")).withColumn("start", F.col("end") - F.length("hit"))
+    valid = F.lit(False)
+    for kind in KINDS:
+        valid = F.when(F.col("kind") == kind, _valid(kind, F.col("hit"))).otherwise(valid)
+    placed = materialize(placed.where(valid), "placed")
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    base = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("k"), "end", "kind"))).alias("base"))
+    base = materialize(base, "base")
+
+    value = F.when(F.col("kind") == "email", F.lower("hit")).when(F.col("kind").isin("card", "phone"), F.regexp_replace("hit", "[^0-9]", "")).otherwise(F.col("hit"))
+    entities = placed.select("key", F.concat_ws(":", "kind", value).alias("entity"), "start", "end", "left", "right")
+    sides = F.concat(
+        F.filter(_terms(F.col("left"), F.col("start") - F.length("left"), F.length("left") > NEAR, F.lit(True)), lambda t: t["end"] < F.col("start")),
+        F.filter(_terms(F.col("right"), F.col("end"), F.lit(True), F.length("right") > NEAR), lambda t: t["start"] > F.col("end")),
+    )
+    near = entities.select("key", "entity", sides.alias("near")).join(base, "key")
+    clear = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    seen = materialize(near.select("key", "entity", F.inline(clear)), "seen")
     together = seen.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_we")).where(F.col("c_we") >= least)
     together = materialize(together, "together")
     c_e = entities.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
     terms = together.select("term").distinct()
     bits = _among(terms)
     h = lambda w: F.pmod(F.xxhash64(w), F.lit(FILTER_WORDS * 64))
-    known = lambda w: F.shiftright(F.get(bits, F.floor(h(w) / 64).cast("int")), F.pmod(h(w), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), known))
-    c_w = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_w"))
+    known = lambda w: F.call_function("shiftright", F.get(bits, F.floor(h(w) / 64).cast("int")), F.pmod(h(w), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
+    c_w = words.where(known(F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("c_w"))
     scored = together.join(materialize(c_w, "c_w"), "term").join(materialize(c_e, "c_e"), "entity")
     pmi = F.log2(F.col("c_we") * F.lit(float(n_docs)) / (F.col("c_w") * F.col("c_e")))
     told = materialize(scored.where(pmi >= threshold * F.log2(F.lit(float(n_docs)) / F.col("c_e"))).where(F.col("c_e") < n_docs).select("entity", "term"), "told")
     hits = seen.join(told, ["entity", "term"]).select("key", "start", "end").distinct()
     of_row = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
-    out = spans.join(materialize(of_row, "terms"), "key", "left")
-    return out.select("key", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+    out = found.select("key", "doc_id").join(base, "key", "left").join(materialize(of_row, "terms"), "key", "left")
+    none = F.array().cast(base.schema["base"].dataType), F.array().cast("array<struct<start:int,end:int>>")
+    return out.select("key", "doc_id", F.coalesce("base", none[0]).alias("base"), F.coalesce("terms", none[1]).alias("terms"))
 
 
 def all_spans() -> Column:
@@ -153,15 +161,22 @@ def all_spans() -> Column:
 
 
 def sanitized(docs: DataFrame, threshold: float = 0.8, least: int = 2) -> DataFrame:
-    """docs with each protected span generalised to its kind in brackets, and disclosing terms removed as [term]."""
-    found = personal_spans(docs, threshold, least).select("key", all_spans().alias("spans")).dropDuplicates(["key"])
-    kept = materialize(found.where(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "found")
+    """docs with each protected span generalised to its kind in brackets, and disclosing terms removed as [term].
+
+    Spans that overlap are one, of the first one's kind.
+    """
+    found = personal_spans(docs, threshold, least).dropDuplicates(["key"]).select("key", F.inline(all_spans()))
+    order = Window.partitionBy("key").orderBy("start", "k")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = found.withColumn("new", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
+    spans = islands.groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "k")).alias("kind"))
+    kept = materialize(spans.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans")), "found")
     rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(kept, "__key", "left")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, x["start"] - acc["pos"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.when(x["start"] >= acc["pos"], F.struct(x["end"].alias("pos"), piece.alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), acc["out"].alias("out")))
+    def piece(x: Column, i: Column) -> Column:
+        begin = F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
+        return F.concat(F.substring(F.col("text"), begin + 1, x["start"] - begin), F.lit("["), x["kind"], F.lit("]"))
 
-    text = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    tail = F.substring(F.col("text"), F.element_at("__spans", -1)["end"] + 1, F.length("text"))
+    text = F.concat(F.array_join(F.transform("__spans", piece), ""), tail)
     return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
