@@ -82,8 +82,8 @@ def step_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH k AS (SELECT user_id, epoch_us(ts) // 1000000 AS x0, avg(value) AS y0 FROM events GROUP BY ALL),
 b AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM k WINDOW w AS (PARTITION BY user_id ORDER BY x0)),
-g AS (SELECT *, unnest(range(CAST(ceil(x0 / 3600.0) AS BIGINT), CAST(ceil(coalesce(x1, x0 + 1) / 3600.0) AS BIGINT))) * 3600 AS at FROM b)
-SELECT user_id, at, round(CASE WHEN at = x0 THEN y0 ELSE y0 + (at - x0) / (x1 - x0) * (y1 - y0) END, 6) AS value FROM g WHERE at = x0 OR (x1 - x0 <= 86400 AND at < x1)""")
+g AS (SELECT *, unnest(range(CAST(ceil(x0 / 3600.0) AS BIGINT), CAST(ceil(coalesce(x1, x0 + 1) / 3600.0) AS BIGINT))) * 3600 AS p FROM b)
+SELECT user_id, p AS "at", round(CASE WHEN p = x0 THEN y0 ELSE y0 + (p - x0) / (x1 - x0) * (y1 - y0) END, 6) AS value FROM g WHERE p = x0 OR (x1 - x0 <= 86400 AND p < x1)""")
 def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's values at full hours, in brackets of a day at most."""
     points = table(spark, sf_dir, "events").groupBy("user_id", F.floor(_micros("ts") / 1_000_000).alias("x")).agg(F.avg("value").alias("y"))
