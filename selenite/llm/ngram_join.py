@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, mix, shingle_sets, text_slices
 
 #: Fragments in which overlaps are counted, rows of a key compared as pairs, rows of a block, text bytes of an index bucket.
-PARTS, SMALL, BLOCK, BUCKET_BYTES = 8, 24, 256, 16 << 20
+PARTS, SMALL, BLOCK, BUCKET_BYTES = 8, 24, 512, 16 << 20
 
 
 def size_classes(num: int, den: int, top: int) -> np.ndarray:
@@ -132,7 +132,7 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bucket
             _, nodes, _ = _set_ids(doc, sets, hi - lo)
             held.append(fragment_keys(doc, sets, nodes, num, den))
             count += len(held[-1][0])
-            if count > 3_000_000:
+            if count > 1_000_000:
                 yield from flush()
                 count = 0
     if count:
@@ -187,21 +187,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _block(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """A spanning forest of the links within a block pair: partial overlaps per fragment, summed."""
-    ids, row = np.unique(frame["node"].to_numpy(), return_inverse=True)
-    size = np.zeros(len(ids), np.int64)
-    size[row] = frame["n"].to_numpy()
+    frame = frame.drop_duplicates("node")
+    ids, size = frame["node"].to_numpy(), frame["n"].to_numpy()
+    grams = np.concatenate(frame["grams"].to_list()).view(np.uint64)
+    row = np.repeat(np.arange(len(ids)), frame["grams"].map(len))
+    fragment = _part(grams, PARTS)
     common = np.zeros((len(ids), len(ids)), np.float32)
-    for _, part in frame.assign(row=row).groupby("part"):
-        part = part.drop_duplicates("row")
-        lengths = part["grams"].map(len).to_numpy()
-        r = np.repeat(part["row"].to_numpy(), lengths)
-        _, g, seen = np.unique(np.concatenate(part["grams"].to_list()), return_inverse=True, return_counts=True)
+    for part in range(PARTS):
+        r = row[fragment == part]
+        _, g, seen = np.unique(grams[fragment == part], return_inverse=True, return_counts=True)
         often = seen > 1
         at = np.cumsum(often) - 1
         r, g = r[often[g]], at[g[often[g]]]
-        for low in range(0, int(often.sum()), 16384):
-            pick = (g >= low) & (g < low + 16384)
-            dense = np.zeros((len(ids), min(16384, int(often.sum()) - low)), np.float32)
+        for low in range(0, int(often.sum()), 8192):
+            pick = (g >= low) & (g < low + 8192)
+            dense = np.zeros((len(ids), min(8192, int(often.sum()) - low)), np.float32)
             dense[r[pick], g[pick] - low] = 1
             common += dense @ dense.T
     inter = common.astype(np.int64)
@@ -260,7 +260,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     pairs_of = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
     large = open_at.where(F.col("m") > SMALL).select("key", "node", F.explode(pairs_of).alias("at")).select("key", "at.i", "at.j", "node")
-    blocks = large.join(sets, "node").groupBy("key", "i", "j").applyInPandas(partial(_block, num=num, den=den), "a long, b long")
+    whole = sets.join(large.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_list("grams")).alias("grams"))
+    blocks = large.join(materialize(whole, "whole"), "node").groupBy("key", "i", "j").applyInPandas(lambda frame: _block(frame, num, den), "a long, b long")
     links = materialize(links.unionByName(more).unionByName(blocks), "links")
     roots = connected_components(links)
 
