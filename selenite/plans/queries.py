@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selenite.functions import numeric, text
-from selenite.operators import aggregates, documents, joins, sequences, spectral
+from selenite.operators import aggregates, documents, joins, learners, sequences, spectral
+
+from . import learning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -440,3 +442,64 @@ def key_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CAST(i AS INT) AS chunk, sha256(substr(text, i * 800 + 1, 800)) AS sha256 FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil(length(text) / 800.0) AS BIGINT)))) AS i FROM documents)")
 def review_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text", 800).drop("text")
+
+
+FEATURES = ("n", "low", "high", "sd", "hour", "q1", "q2", "q3", "q4")
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training row for each user and type of event, over all events; its mean value is to be predicted."""
+    quarter = F.floor(F.hour("ts") / 6)
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.avg(F.hour("ts")).alias("hour"),
+        *(F.count_if(quarter == k).cast("double").alias(f"q{k + 1}") for k in range(4)), F.avg("value").alias("y"),
+    )
+    return rows.select(F.concat_ws("-", "user_id", "event_type").alias("key"), "user_id", "y", F.array(*FEATURES).alias("x"))
+
+
+@query()
+def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of whole users, by falling number of events to the lightest fold."""
+    return learning.group_folds(table(spark, sf_dir, "events"), "user_id", 5)
+
+
+@query()
+def nested_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of each kind of model on held-out groups, parameters tuned inside."""
+    grid = {"ridge": [{"alpha": a} for a in (0.1, 1.0, 10.0)], "elastic_net": [{"alpha": a} for a in (0.01, 0.1)], "component_ridge": [{"components": k} for k in (3, 6)], "pls": [{"components": k} for k in (2, 4)], "svr": [{"c": 1.0, "rounds": 30}], "gp": [{"components": 6}], "trees": [{"n": 10}], "boosting": [{"n": 15}]}
+    out = learning.nested_cv(_training(spark, sf_dir), "x", "y", "user_id", "key", grid, outer=4, inner=2)
+    return aggregates.group_mean_metrics(out, ["model"], "user_id", "y", "predicted")
+
+
+@query()
+def held_out_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.permutation_importance(_training(spark, sf_dir), "x", "y", "user_id", "key", "ridge", {"alpha": 1.0}, folds=3, repeats=2)
+
+
+@query()
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user and type scored by two models, with flags and the screened consensus."""
+    rows = _training(spark, sf_dir)
+    _, _, y, x = learning.training_arrays(rows, "x", "y", "user_id", "key")
+    models = {"ridge": learners.Ridge(1.0).fit(x, y), "pls": learners.PartialLeastSquares(3).fit(x, y)}
+    return learning.score(rows.select("key", "x"), "x", models, learning.training_domain(x), 0, 1e6, 2, 1e3, 50).drop("x")
+
+
+@query()
+def pchip_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monotone cubic values of each user's segments at whole numbers, averaged where segments overlap."""
+    rows = _segments(spark, sf_dir).withColumn("y", F.sqrt(F.abs("value")))
+    return spectral.resample_segments(rows, "user_id", "value", "y", [float(k) for k in range(0, 400, 10)], "pchip")
+
+
+@query()
+def spline_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _segments(spark, sf_dir).withColumn("y", F.sqrt(F.abs("value")))
+    return spectral.resample_segments(rows, "user_id", "value", "y", [float(k) for k in range(0, 400, 10)], "spline", gap=100)
+
+
+@query()
+def greedy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation by length within a budget of characters."""
+    blocks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.length("text").alias("score"), F.col("turn").alias("pos"), "text")).alias("b"))
+    return blocks.select("conv_id", F.size(sequences.greedy_budget(F.col("b"), 400)).alias("n_taken"))
