@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, materialize, mix, prefix_hash, span_hash, text_slices
+from .common import LOWER, WHITE, materialize, text_slices
 
 #: Bytes of a q-gram, edits allowed as a share of the item, least bytes of an item, bytes of items for one pass.
 GRAM, BUDGET, LEAST, PASS_BYTES = 8, 0.08, 24, 4 << 20
@@ -34,8 +34,20 @@ def normalized(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, ends + np.arange(len(offs))
 
 
+def grams_at(data: np.ndarray, gram: int) -> np.ndarray:
+    """The q-gram of up to eight bytes at each place, as a number: no hashing, no collisions."""
+    n = len(data) - gram + 1
+    wide = np.ascontiguousarray(np.r_[data, np.zeros(8, np.uint8)])
+    keys = np.ndarray((n,), "<u8", wide, strides=(1,)).copy()
+    return keys if gram == 8 else keys & np.uint64((1 << 8 * gram) - 1)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 class Items:
-    """Index of the q-grams of some benchmark items."""
+    """Index of the q-grams (of eight bytes at most) of some benchmark items."""
 
     def __init__(self, rows: list[tuple[int, str | None]], gram: int = GRAM, budget: float = BUDGET, least: int = LEAST):
         self.gram, self.ids, self.texts, self.edits, self.bounds = gram, [], [], [], []
@@ -48,7 +60,7 @@ class Items:
                 continue
             edits = min(int(budget * len(data)), (len(data) - gram) // gram)
             at = np.arange(len(data) - gram + 1)
-            keys.append(mix(span_hash(prefix_hash(data), at, at + gram)))
+            keys.append(grams_at(data, gram))
             item.append(np.full(len(at), len(self.ids)))
             place.append(at)
             self.ids.append(item_id)
@@ -60,7 +72,7 @@ class Items:
         self.item = np.concatenate(item)[order] if keys else order
         self.place = np.concatenate(place)[order] if keys else order
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.maybe[_slot(self.keys)] = True
         self.edits, self.bounds = np.array(self.edits, np.int64), np.array(self.bounds, np.int64)
 
     def regions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,27 +80,36 @@ class Items:
         none = np.zeros(0, np.int64)
         if len(data) < self.gram or not len(self.keys):
             return none, none
-        at = np.arange(len(data) - self.gram + 1)
-        keys = mix(span_hash(prefix_hash(data), at, at + self.gram))
-        at = np.flatnonzero(self.maybe[(keys & np.uint64(0xFFFFF)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
+        keys = grams_at(data, self.gram)
+        at = np.flatnonzero(self.maybe[_slot(keys)])
+        keys = keys[at]
+        lo = np.searchsorted(self.keys, keys, "left")
+        known = self.keys[np.minimum(lo, len(self.keys) - 1)] == keys
+        at, keys, lo = at[known], keys[known], lo[known]
+        hi = np.searchsorted(self.keys, keys, "right")
         n = hi - lo
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         diagonal, item = np.repeat(at, n) - self.place[entry], self.item[entry]
         if not len(item):
             return none, none
-        band = diagonal // (self.edits[item] + 1)
-        both_item, both_band = np.r_[item, item], np.r_[band, band - 1]
-        order = np.lexsort((both_band, both_item))
-        i, b = both_item[order], both_band[order]
-        first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
-        counts = np.diff(np.r_[first, len(i)])
-        good = first[counts >= self.bounds[i[first]]]
-        return i[good], b[good] * (self.edits[i[good]] + 1)
+        # Cells as wide as the edits and one more; a band is two neighbouring cells, so bands overlap by half.
+        cells = (item << 40) + diagonal // (self.edits[item] + 1) + (1 << 39)
+        cells.sort()
+        first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        cell, counts = cells[first], np.diff(np.r_[first, len(cells)])
+        next_to = cell[1:] == cell[:-1] + 1
+        counts[:-1] += np.where(next_to, counts[1:], 0)
+        i = cell >> 40
+        good = counts >= self.bounds[i]
+        i, cell = i[good], cell[good]
+        return i, ((cell & ((1 << 40) - 1)) - (1 << 39)) * (self.edits[i] + 1)
 
     def aligned(self, data: np.ndarray, item: int, diagonal: int) -> tuple[int, int] | None:
         """Start and end in data of an alignment of the whole item within its edits, in the band from this diagonal."""
         want, k = self.texts[item], int(self.edits[item])
+        from_, upto = max(diagonal - k, 0), max(diagonal + 2 * (k + 1) + k + len(want), 0)
+        if (exact := data[from_:upto].tobytes().find(want.tobytes())) >= 0:  # the alignment without edits
+            return from_ + exact, from_ + exact + len(want)
         width = 2 * (k + 1) + 2 * k + 1
         low = diagonal - k
         columns = low + np.arange(width)  # data position before row 0
@@ -120,8 +141,10 @@ def _searched(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Re
         keys = batch.column("key").to_numpy()
         for lo, hi, raw, raw_offs in text_slices(batch, "text"):
             data, offs = normalized(raw, raw_offs)
-            out, last = [], {}
+            out, last, before = [], {}, (-1, 0, 0)
             for item, diagonal in zip(*items.regions(data), strict=True):
+                if before[0] == item and before[1] >= diagonal and before[2] > diagonal:
+                    continue  # the same passage in the next band
                 found = items.aligned(data, item, diagonal)
                 if found is None:
                     continue
@@ -129,6 +152,7 @@ def _searched(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Re
                 if 0 in data[found[0] : found[1]] or last.get((row, item), -1) > found[0]:
                     continue
                 last[row, item] = found[1]
+                before = item, found[0], found[1]
                 out.append((keys[lo + row], items.ids[item], found[0] - int(offs[row]), found[1] - int(offs[row])))
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "item_id", "start", "end"])
