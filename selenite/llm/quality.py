@@ -82,8 +82,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class NonNegativePU:
     """A linear model on standardised features and their squares."""
 
-    def __init__(self, rounds: int = 600, rate: float = 0.05, ridge: float = 1e-4):
-        self.rounds, self.rate, self.ridge = rounds, rate, ridge
+    def __init__(self, rounds: int = 600, rate: float = 0.05, ridge: float = 3.0):
+        self.rounds, self.rate, self.ridge = rounds, rate, ridge  # the ridge is shared among the positives
 
     def _design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -101,7 +101,7 @@ class NonNegativePU:
             slope_p, slope_u = p.T @ (sp * (1 - sp)) / len(p), u.T @ (su * (1 - su)) / len(u)
             negative = su.mean() - prior * sp.mean()  # sigmoid losses of scoring as positive
             grad = -prior * slope_p + (slope_u - prior * slope_p) if negative >= 0 else -(slope_u - prior * slope_p)
-            grad = grad + self.ridge * np.r_[0, w[1:]]
+            grad = grad + self.ridge / len(p) * np.r_[0, w[1:]]
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             w = w - self.rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.w = w
@@ -129,25 +129,47 @@ def quality_scores(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     like any other. Without any positives or documents every score is the prior, 0.5 where there are no labels. Other
     columns are not read. key is a hash of id and text.
     """
+    model, prior, table = _fitted(docs, labels, positives, unlabelled)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    if model is not None:
+        scored = table.mapInArrow(partial(_scored, model=model), f"key long, doc_id {id_type}, score double")
+    else:
+        scored = table.select("key", "doc_id", F.lit(prior).alias("score"))
+    return scored.select("key", "doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[NonNegativePU | None, float, DataFrame]:
+    """The model (none without samples), the prior, and the features of all rows."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     table = materialize(rows.mapInArrow(_featured, f"key long, doc_id {id_type}, x array<float>"), "features")
     known = labels.where("doc_id is not null and quality is not null").where(~held_out_column()).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("q"))
-    stats = known.agg(F.avg((F.col("q") > 0.5).cast("double")).alias("prior")).first()
-    prior = min(0.99, max(0.01, stats.prior)) if stats.prior is not None else 0.5
+    stats = known.agg(F.avg((F.col("q") > 0.5).cast("double")).alias("prior"), F.count(F.lit(1)).alias("n")).first()
+    # One standard error up: with few labels, clean text is kept rather than lost.
+    prior = min(0.99, max(0.01, stats.prior + (stats.prior * (1 - stats.prior) / stats.n) ** 0.5)) if stats.n else 0.5
     by_hash = F.xxhash64(F.lit(17), "key")
-    sample = lambda df, n: np.array([r.x for r in df.orderBy(by_hash, "key").select("x").limit(n).collect()], np.float64).reshape(-1, N_FEATURES)
+
+    def sample(df: DataFrame, n: int) -> np.ndarray:
+        """The rows of smallest hash, n at most. Only about n rows in all are sent by the tasks, however many there are."""
+        share = (1.05 * n + 100) / max(1, df.count())
+        near = df.where(F.pmod(by_hash, F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
+        return np.array([r.x for r in near.orderBy(F.pmod(by_hash, F.lit(1 << 40)), "key").select("x").limit(n).collect()], np.float64).reshape(-1, N_FEATURES)
+
     trusted = sample(table.join(known.where("q > 0.5").select("doc_id"), "doc_id", "left_semi"), positives)
     web = sample(table, unlabelled)
-    if len(trusted) and len(web):
-        model = NonNegativePU().fit(trusted, web, prior)
-        scored = table.mapInArrow(partial(_scored, model=model), f"key long, doc_id {id_type}, score double")
-    else:
-        scored = table.select("key", "doc_id", F.lit(prior).alias("score"))
-    return scored.select("key", "doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return NonNegativePU().fit(trusted, web, prior) if len(trusted) and len(web) else None, prior, table
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier predicts to be of quality 1."""
-    good = quality_scores(docs, labels).where("predicted = 1").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(materialize(good, "good"), "__key", "left_semi").drop("__key")
+    model, prior, _ = _fitted(docs, labels, POSITIVES, UNLABELLED)
+    if model is None:
+        return docs if prior >= 0.5 else docs.limit(0)
+    return docs.mapInArrow(partial(_kept, model=model), docs.schema)
+
+
+def _kept(batches: Iterator[pa.RecordBatch], model: NonNegativePU) -> Iterator[pa.RecordBatch]:
+    """The rows whose text is scored as good: texts are scored where they are read, and never shuffled."""
+    for batch in batches:
+        for lo, hi, data, offs in text_slices(batch, "text"):
+            yield batch.slice(lo, hi - lo).filter(pa.array(model.score(features(data, offs)) >= 0.5))
