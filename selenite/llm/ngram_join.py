@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix, shingle_sets, text_slices
+from .common import connected_components, free_shuffles, materialize, mix, shingle_sets, text_slices
 
 #: Fragments in which overlaps are counted, rows of a key compared as pairs, rows of a block, text bytes of an index bucket.
 PARTS, SMALL, BLOCK, BUCKET_BYTES = 8, 24, 512, 16 << 20
@@ -132,7 +132,7 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bucket
             _, nodes, _ = _set_ids(doc, sets, hi - lo)
             held.append(fragment_keys(doc, sets, nodes, num, den))
             count += len(held[-1][0])
-            if count > 1_000_000:
+            if count > 600_000:
                 yield from flush()
                 count = 0
     if count:
@@ -161,36 +161,65 @@ def _members(table: pa.Table) -> pa.Table:
     return pa.table([cat(keys, np.int64), cat(nodes, np.int64), cat(leads, np.int64)], ["key", "node", "leader"])
 
 
-def _parted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(node, part, grams): the sets cut into fragments."""
+def _named(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(node, n, text) of texts."""
     for batch in batches:
         for lo, hi, data, offs in text_slices(batch, "text"):
             doc, sets = shingle_sets(data, offs, n)
-            if not len(doc):
-                continue
             sizes, nodes, _ = _set_ids(doc, sets, hi - lo)
-            f = _part(sets, PARTS)
-            at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (f[1:] != f[:-1])])
-            grams = pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)].astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[doc[at]]), pa.array(f[at].astype(np.int32)), pa.array(sizes[doc[at]]), grams], ["node", "part", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes), batch.column("text").slice(lo, hi - lo)], ["node", "n", "text"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _side(batch: pa.RecordBatch, column: str, n: int) -> list[np.ndarray]:
+    """The sorted sets of a column of texts."""
+    out = []
+    for lo, hi, data, offs in text_slices(batch, column):
+        doc, sets = shingle_sets(data, offs, n)
+        at = np.searchsorted(doc, np.arange(hi - lo + 1))
+        out += [sets[at[k] : at[k + 1]] for k in range(hi - lo)]
+    return out
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common n-grams of two sorted sets, counted in each fragment and summed."""
+    bounds = (np.arange(1, PARTS, dtype=np.uint64) * np.uint64(2**64 // PARTS)).astype(np.uint64)
+    cut_a, cut_b = (np.r_[0, np.searchsorted(x, bounds), len(x)] for x in (a, b))
+    total = 0
+    for k in range(PARTS):
+        x, y = a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]]
+        if len(x) and len(y):
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            total += int((y[at] == x).sum())
+    return total
+
+
+def _tested(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            keep = []
+            for x, y in zip(_side(batch, "t_a", n), _side(batch, "t_b", n), strict=True):
+                common = _overlap(x, y)
+                keep.append(den * common >= num * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, counted in each fragment and summed, reach the threshold."""
-    one = sets.select(F.col("node").alias("a"), "part", F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-    two = sets.select(F.col("node").alias("b"), "part", F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    within = (num * F.greatest("n_a", "n_b") <= den * F.least("n_a", "n_b"))
-    counted = pairs.join(one, "a").join(two, ["b", "part"]).where(within).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("common"))
-    summed = counted.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("common").alias("common"))
-    return summed.where(den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("text").alias("t_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("text").alias("t_b"))
+    within = num * F.greatest("n_a", "n_b") <= den * F.least("n_a", "n_b")
+    sizes = pairs.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b").where(within).select("a", "b")
+    return sizes.join(one.select("a", "t_a"), "a").join(two.select("b", "t_b"), "b").mapInArrow(partial(_tested, n=n, num=num, den=den), "a long, b long")
 
 
-def _block(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+def _block(frame: pd.DataFrame, n: int, num: int, den: int) -> pd.DataFrame:
     """A spanning forest of the links within a block pair: partial overlaps per fragment, summed."""
     frame = frame.drop_duplicates("node")
     ids, size = frame["node"].to_numpy(), frame["n"].to_numpy()
-    grams = np.concatenate(frame["grams"].to_list()).view(np.uint64)
-    row = np.repeat(np.arange(len(ids)), frame["grams"].map(len))
+    each = _side(pa.RecordBatch.from_arrays([pa.array(frame["text"], pa.string())], ["text"]), "text", n)
+    grams = np.concatenate(each)
+    row = np.repeat(np.arange(len(ids)), [len(x) for x in each])
     fragment = _part(grams, PARTS)
     common = np.zeros((len(ids), len(ids)), np.float32)
     for part in range(PARTS):
@@ -235,6 +264,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     buckets = max(64, -(-bytes_in // BUCKET_BYTES))
     index = rows.select("text").mapInArrow(partial(_index, n=n, num=num, den=den, buckets=buckets), _INDEX)
     members = materialize(index.groupBy("bucket").applyInArrow(_members, "key long, node long, leader long"), "members")
+    free_shuffles(spark)
 
     # Each set against the leader with which it shares the most keys.
     best = members.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
@@ -242,10 +272,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = profile.where("n_shingles > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))
     chosen = chosen.where(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two sets have one id"))).otherwise(F.lit(True)))
-    texts = rows.join(materialize(chosen.select("key"), "chosen"), "key", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(partial(_parted, n=n), "node long, part int, n long, grams array<long>"), "sets").dropDuplicates(["node", "part"])
-    sets = materialize(sets, "sets")
-    links = materialize(_linked(first, sets, num, den), "links")
+    texts = rows.join(materialize(chosen.select("key"), "chosen"), "key", "left_semi").dropDuplicates(["key"]).select("text")
+    sets = materialize(texts.mapInArrow(partial(_named, n=n), "node long, n long, text string"), "sets")
+    free_shuffles(spark)
+    links = materialize(_linked(first, sets, n, num, den), "links")
+    free_shuffles(spark)
     now = materialize(connected_components(links), "components")
 
     # Keys whose members are not yet all connected, compared in full; one key of those with the same members.
@@ -255,15 +286,15 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     open_at = materialize(at.join(mixed.select("key", "m"), "key"), "open")
     small = open_at.where(F.col("m") <= SMALL)
     pairs = small.alias("p").join(small.alias("q"), "key").where("p.node < q.node and p.root <> q.root").select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    more = _linked(pairs, sets, num, den)
+    more = materialize(_linked(pairs, sets, n, num, den), "more")
+    free_shuffles(spark)
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     pairs_of = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
     large = open_at.where(F.col("m") > SMALL).select("key", "node", F.explode(pairs_of).alias("at")).select("key", "at.i", "at.j", "node")
-    whole = sets.join(large.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_list("grams")).alias("grams"))
-    blocks = large.join(materialize(whole, "whole"), "node").groupBy("key", "i", "j").applyInPandas(lambda frame: _block(frame, num, den), "a long, b long")
-    links = materialize(links.unionByName(more).unionByName(blocks), "links")
-    roots = connected_components(links)
+    blocks = large.join(sets, "node").groupBy("key", "i", "j").applyInPandas(lambda frame: _block(frame, n, num, den), "a long, b long")
+    star = now.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = connected_components(star.unionByName(more).unionByName(blocks))
 
     sets_of = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = sets_of.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
