@@ -85,14 +85,14 @@ def step_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH k AS (SELECT user_id, epoch_us(ts) // 1000000 AS x0, avg(value) AS y0 FROM events GROUP BY ALL),
 b AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM k WINDOW w AS (PARTITION BY user_id ORDER BY x0)),
 g AS (SELECT *, unnest(range(CAST(ceil(x0 / 3600.0) AS BIGINT), CAST(ceil(coalesce(x1, x0 + 1) / 3600.0) AS BIGINT))) * 3600 AS p FROM b)
-SELECT user_id, p AS "at", round(CASE WHEN p = x0 THEN y0 ELSE y0 + (p - x0) / (x1 - x0) * (y1 - y0) END, 4) AS value FROM g WHERE p = x0 OR (x1 - x0 <= 86400 AND p < x1)""")
+SELECT user_id, p AS "at", CASE WHEN p = x0 THEN y0 ELSE y0 + (p - x0) / (x1 - x0) * (y1 - y0) END AS value FROM g WHERE p = x0 OR (x1 - x0 <= 86400 AND p < x1)""")
 def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's values at full hours, in brackets of a day at most."""
     points = table(spark, sf_dir, "events").groupBy("user_id", F.floor(_micros("ts") / 1_000_000).alias("x")).agg(F.avg("value").alias("y"))
     low, high = F.ceil(F.col("x0") / 3600), F.ceil(F.coalesce("x1", F.col("x0") + 1) / 3600)
     grid = F.transform(F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>")), lambda h: h * 3600)
     out = spectral.linear_resample(points, ["user_id"], "x", "y", grid, 86400)
-    return out.select("user_id", "at", _r(F.col("value"), 4).alias("value"))
+    return out.select("user_id", "at", "value")
 
 
 _WEIGHTS = "SELECT CAST(a AS INT) AS d, CAST(b AS INT) AS band, greatest(0.0, 1 - abs(a - b * 30) / 30.0) AS weight FROM (SELECT unnest(range(1, 367)) AS a), (SELECT unnest(range(1, 13)) AS b) WHERE abs(a - b * 30) < 30"
