@@ -175,6 +175,15 @@ def _parted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(nodes[doc[at]]), pa.array(f[at].astype(np.int32)), pa.array(sizes[doc[at]]), grams], ["node", "part", "n", "grams"])
 
 
+def _sets(rows: DataFrame, profile: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, part, n, grams) of the wanted nodes, each set cut from one of its texts."""
+    chosen = profile.where("n_shingles > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))
+    chosen = chosen.where(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two sets have one id"))).otherwise(F.lit(True)))
+    texts = rows.join(materialize(chosen.select("key"), "chosen"), "key", "left_semi").select("text")
+    sets = materialize(texts.mapInArrow(partial(_parted, n=n), "node long, part int, n long, grams array<long>"), "sets").dropDuplicates(["node", "part"])
+    return materialize(sets, "sets")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, counted in each fragment and summed, reach the threshold."""
     one = sets.select(F.col("node").alias("a"), "part", F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
@@ -239,12 +248,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     # Each set against the leader with which it shares the most keys.
     best = members.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
     first = materialize(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "first")
-    wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = profile.where("n_shingles > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))
-    chosen = chosen.where(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two sets have one id"))).otherwise(F.lit(True)))
-    texts = rows.join(materialize(chosen.select("key"), "chosen"), "key", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(partial(_parted, n=n), "node long, part int, n long, grams array<long>"), "sets").dropDuplicates(["node", "part"])
-    sets = materialize(sets, "sets")
+    wanted = materialize(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = _sets(rows, profile, wanted, n)
     links = materialize(_linked(first, sets, num, den), "links")
     now = materialize(connected_components(links), "components")
 
@@ -253,6 +258,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node") % (1 << 40)).alias("s1"), F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("s2")).where("lo <> hi")
     mixed = materialize(mixed.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")), "mixed")
     open_at = materialize(at.join(mixed.select("key", "m"), "key"), "open")
+    # Nodes first in all their keys that are no node's best leader have no set yet.
+    sets = sets.unionByName(_sets(rows, profile, open_at.select("node").distinct().join(wanted, "node", "left_anti"), n))
     small = open_at.where(F.col("m") <= SMALL)
     pairs = small.alias("p").join(small.alias("q"), "key").where("p.node < q.node and p.root <> q.root").select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     more = _linked(pairs, sets, num, den)

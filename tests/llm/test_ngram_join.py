@@ -59,3 +59,16 @@ def test_nulls_empties_repeats(spark):
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == [1, 3, 4, 5, 6]
     assert keep_one(docs).columns == docs.columns
     assert ngram_components(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size,num", [(10, 80), (40, 90)])
+def test_chains_of_near_copies(spark, size, num):
+    """In each of many chains X links L and M, and L and M do not link each other."""
+    rows = []
+    for i in range(2000):
+        base = [f"w{i}x{j}" for j in range(size)]
+        for c in range(3):
+            rows.append((3 * i + c, " ".join([*base[:c], f"v{i}x{c}", *base[c + 1 :]] if c else base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_components(docs, 1, num, 100).collect()}
+    assert [d for d, _ in rows if got[d] != d - d % 3] == []
