@@ -61,3 +61,53 @@ def test_edges(spark):
     assert leaks(docs.where("doc_id IS NULL"), bench).count() == 2
     assert sorted(r.doc_id for r in keep_clean(docs, bench).collect()) == [2, 3, 4]
     assert keep_clean(docs, bench.limit(0)).count() == 7 and marked(docs.limit(0), bench).count() == 0
+
+
+def test_parts_of_items(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    item = [word() for _ in range(200)]
+    other = lambda n: " ".join(word() for _ in range(n))
+    rows = [(1, other(30) + " " + " ".join(item[70:120]) + " " + other(30)), (2, " ".join(item[150:])), (3, " ".join(item[:50]) + " " + other(20)), (4, other(80)), (5, " ".join(item[:10])), (6, " ".join([*item[:8], *other(9).split(), *item[8:16]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in marked(docs, bench).where("contaminated").collect()} == {1, 2, 3}
+    assert sorted(r.doc_id for r in keep_clean(docs, bench).collect()) == [4, 5, 6]
+
+
+def test_parts_against_alignment(spark):
+    rng = random.Random(8)
+    bench = [(r.item_id, norm(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bench = [(i, t) for i, t in bench if 150 < len(t.encode()) < 220][:6]
+    rows = []
+    for d in range(12):
+        part = list(rng.choice(bench)[1][rng.randrange(40) :][:100])
+        for _ in range([0, 4, 8, 12][d % 4]):
+            part[rng.randrange(len(part))] = rng.choice(["", "#", "%%"])
+        rows.append((d, "0123 " + "".join(part) + " 4567"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in marked(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+
+    def held(t, text):
+        b = t.encode("utf-8", "ignore")
+        parts = (b[i : i + 80].decode("latin-1") for i in range(len(b) - 79))
+        return any(distance_bytes(p.encode("latin-1"), norm(text).encode()) <= 6 for p in parts)
+
+    want = {d: {i for i, t in bench if held(t, text)} for d, text in rows}
+    assert got == want and 0 < sum(map(bool, want.values())) < 12
+
+
+def distance_bytes(a, b):
+    row = np.zeros(len(b) + 1, int)
+    b = np.frombuffer(b, np.uint8)
+    at = np.arange(len(b) + 1)
+    for x in a:
+        new = np.r_[row[0] + 1, np.minimum(row[:-1] + (b != x), row[1:] + 1)]
+        row = np.minimum.accumulate(new - at) + at
+    return row.min()
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "Yes"), (3, "an old oak")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So: who  wrote it? Nobody"), (2, " yes\n"), (3, "oh yes"), (4, "than an old oaken"), (5, "Who wrote ita?"), (6, "an old oak")], "doc_id long, text string")
+    assert {r.doc_id: list(r["items"]) for r in marked(docs, bench).where("contaminated").collect()} == {1: [1], 2: [2], 6: [3]}
