@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Four kinds of protected entities are found by pattern. Then, with corpus counts of documents, a term w near an entity e
+Four kinds of protected entities are found by pattern. Then, with corpus counts of documents, a term w beside an entity e
 discloses the share PMI(w; e) / IC(e) of its information, where PMI = log2(c(w,e) N / (c(w) c(e))) and
-IC = log2(N / c(e)); c(w,e) counts documents with w near e, c(w) and c(e) those with w and e at all. Terms at or above
-the threshold are protected too, where they stand near the entity.
+IC = log2(N / c(e)); c(w,e) counts documents with both, c(w) and c(e) those with w and e at all. Terms at or above the
+threshold are protected too, wherever they stand in a document with the entity.
 
 Patterns are written so that Java's matcher neither recurses with the text's length nor rescans a run: a match starts at
 the start of its run or at the end of the last match.
@@ -27,25 +27,24 @@ PATTERNS = {
 #: Cheap necessary conditions of a match.
 _MAYBE = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": lambda t: t.contains("+")}
 TERM = r"[\p{L}\p{N}]+"
-#: Characters on either side of an entity in which terms are looked at; bits of the filter for the terms to be counted.
-NEAR, FILTER_WORDS = 80, 1 << 17
-_HIT = "array<struct<kind:string,i:int,gap:int,hit:string,left:string,right:string>>"
+#: Bits of the filter for the terms to be counted.
+FILTER_WORDS = 1 << 17
+_HIT = "array<struct<kind:string,i:int,gap:int,hit:string>>"
 
 
-def _hits(text: Column, kind: str) -> Column:
-    """Matches of a kind's pattern, each with the length of the text before it and the text near it on either side."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
+def _matched(text: Column, pattern: str) -> Column:
+    """Matches of a pattern in order, each with the length of the text since the one before."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.zip_with(hits, F.slice(F.transform(gaps, F.length), F.lit(1), F.size(hits)), lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
 
-    def sides(gap: Column, i: Column) -> Column:
-        return F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(NEAR + 1)).alias("left"), F.substring(F.get(gaps, i + 1), 1, NEAR + 1).alias("right"))
 
-    def hit(h: Column, g: Column) -> Column:
-        return F.struct(h.alias("hit"), g.alias("g"))
+def _hits(text: Column, kind: str) -> Column:
+    """Matches of a kind's pattern, each with the length of the text before it."""
 
     def row(x: Column, i: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["g"]["gap"].alias("gap"), x["hit"].alias("hit"), x["g"]["left"].alias("left"), x["g"]["right"].alias("right"))
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["hit"].alias("hit"))
 
-    pairs = F.zip_with(hits, F.slice(F.transform(gaps, sides), F.lit(1), F.size(hits)), hit)
+    pairs = _matched(text, PATTERNS[kind])
     return F.when(_MAYBE[kind](text), F.transform(pairs, row)).otherwise(F.array().cast(_HIT))
 
 
@@ -74,21 +73,12 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _terms(text: Column, base: Column, cut_first: Column, cut_last: Column) -> Column:
-    """Terms of three letters and more in a short text that begins at base, but not those at a cut end of it."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(F.length(g).alias("g"), h.alias("h")))
-    start = F.struct(base.cast("int").alias("pos"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + x["g"]
-        end = (begin + F.length(x["h"])).cast("int")
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.lower(x["h"]).alias("term")))).alias("out"))
-
-    def whole(t: Column) -> Column:
-        return (F.length(t["term"]) >= 3) & ~(cut_first & (t["start"] == base)) & ~(cut_last & (t["end"] == base + F.length(text)))
-
-    return F.filter(F.aggregate(pairs, start, step, lambda acc: acc["out"]), whole)
+def _terms(rows: DataFrame) -> DataFrame:
+    """(key, start, end, term) of the terms of three letters and more in rows(key, text)."""
+    every = rows.select("key", F.posexplode(_matched(F.col("text"), TERM)).alias("i", "x")).select("key", "i", "x.gap", "x.hit")
+    upto = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(upto).cast("int"))
+    return placed.where(F.length("hit") >= 3).select("key", (F.col("end") - F.length("hit")).alias("start"), "end", F.lower("hit").alias("term"))
 
 
 def _among(terms: DataFrame) -> Column:
@@ -100,10 +90,10 @@ def _among(terms: DataFrame) -> Column:
 
 
 def personal_spans(docs: DataFrame, threshold: float = 0.8, least: int = 2) -> DataFrame:
-    """(key, doc_id, base, terms) of every row of docs(doc_id, text): spans of the kinds, and of terms near them.
+    """(key, doc_id, base, terms) of every row of docs(doc_id, text): spans of the kinds, and of terms that disclose them.
 
     threshold is the share of an entity's information at which a term discloses it; least is the number of documents in
-    which both must stand together, as one sight of a rare word is no evidence. Entities are compared by kind and by
+    which both must stand, as in one document every rare word would disclose every entity. Entities are compared by kind and by
     text, lower-cased for e-mail and as digits for cards and phones. key is a hash of doc_id and text: rows repeated
     whole share it. A null text is empty and has no spans. Terms overlapping base spans are left out. Other columns are
     not read.
@@ -126,27 +116,24 @@ def personal_spans(docs: DataFrame, threshold: float = 0.8, least: int = 2) -> D
     base = materialize(base, "base")
 
     value = F.when(F.col("kind") == "email", F.lower("hit")).when(F.col("kind").isin("card", "phone"), F.regexp_replace("hit", "[^0-9]", "")).otherwise(F.col("hit"))
-    entities = placed.select("key", F.concat_ws(":", "kind", value).alias("entity"), "start", "end", "left", "right")
-    sides = F.concat(
-        F.filter(_terms(F.col("left"), F.col("start") - F.length("left"), F.length("left") > NEAR, F.lit(True)), lambda t: t["end"] < F.col("start")),
-        F.filter(_terms(F.col("right"), F.col("end"), F.lit(True), F.length("right") > NEAR), lambda t: t["start"] > F.col("end")),
-    )
-    near = entities.select("key", "entity", sides.alias("near")).join(base, "key")
-    clear = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    seen = materialize(near.select("key", "entity", F.inline(clear)), "seen")
-    together = seen.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_we")).where(F.col("c_we") >= least)
+    entities = placed.select("key", F.concat_ws(":", "kind", value).alias("entity")).distinct()
+    c_e = materialize(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where(F.col("c_e").between(least, n_docs - 1)), "c_e")
+    held = materialize(entities.join(c_e.select("entity"), "entity", "left_semi"), "held")
+    texts = rows.select("key", "text").join(held.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    seen = materialize(_terms(texts).join(base, "key").where(clear).select("key", "start", "end", "term"), "seen")
+    together = seen.select("key", "term").distinct().join(held, "key").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_we")).where(F.col("c_we") >= least)
     together = materialize(together, "together")
-    c_e = entities.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
     terms = together.select("term").distinct()
     bits = _among(terms)
     h = lambda w: F.pmod(F.xxhash64(w), F.lit(FILTER_WORDS * 64))
     known = lambda w: F.call_function("shiftright", F.get(bits, F.floor(h(w) / 64).cast("int")), F.pmod(h(w), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
     words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     c_w = words.where(known(F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("c_w"))
-    scored = together.join(materialize(c_w, "c_w"), "term").join(materialize(c_e, "c_e"), "entity")
+    scored = together.join(materialize(c_w, "c_w"), "term").join(c_e, "entity")
     pmi = F.log2(F.col("c_we") * F.lit(float(n_docs)) / (F.col("c_w") * F.col("c_e")))
-    told = materialize(scored.where(pmi >= threshold * F.log2(F.lit(float(n_docs)) / F.col("c_e"))).where(F.col("c_e") < n_docs).select("entity", "term"), "told")
-    hits = seen.join(told, ["entity", "term"]).select("key", "start", "end").distinct()
+    told = materialize(scored.where(pmi >= threshold * F.log2(F.lit(float(n_docs)) / F.col("c_e"))).select("entity", "term"), "told")
+    hits = seen.join(held, "key").join(told, ["entity", "term"]).select("key", "start", "end").distinct()
     of_row = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
     out = found.select("key", "doc_id").join(base, "key", "left").join(materialize(of_row, "terms"), "key", "left")
     none = F.array().cast(base.schema["base"].dataType), F.array().cast("array<struct<start:int,end:int>>")

@@ -77,3 +77,15 @@ def test_query_digest(spark):
         kinds = Counter(s.split(":")[0] for s in spans)
         assert [kinds[k] for k in KINDS] == [r.n_email, r.n_ip, r.n_card, r.n_phone]
         assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == spans
+
+
+def test_terms_anywhere_in_the_document(spark):
+    """A term far from the entity, behind another entity, and each of its occurrences."""
+    filler = "common words stand here and more of the words with nothing " * 5
+    rows = [(i, f"Zorblax {filler}quuxon x@other{i}.com boss@corp.com {filler}zorblax, {filler}") for i in range(4)]
+    rows += [(10 + i, filler) for i in range(200)] + [(300, "zorblax alone")]
+    got = {r.doc_id: r.spans.split(",") for r in personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", joined(all_spans()).alias("spans")).collect()}
+    text = rows[0][1].lower()
+    places = [(m.start(), m.end()) for m in re.finditer("zorblax|quuxon", text)]
+    assert len(places) == 3 and [s for s in got[0] if s.startswith("term")] == [f"term:{a}:{b}" for a, b in places]
+    assert got[10] == got[300] == [""]
