@@ -167,7 +167,11 @@ def matched_once(c: Column, pattern: str, group: int = 1) -> Column:
 
 def numbers_near(text: Column, pattern: str, before: int = 220, after: int = 300, most: float = 200.0) -> Column:
     """Numbers within the characters before and after each match; ids of five digits, years and large ones left out."""
-    window = F.regexp_extract_all(text, F.lit(f"(?s).{{0,{before}}}(?:{pattern}).{{0,{after}}}"), F.lit(0))
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("n")))
+    ends = F.aggregate(pairs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x["gap"] + x["n"]).cast("int"))))
+    cut = lambda end, n: F.substring(text, F.greatest(end - n - before, F.lit(0)) + 1, F.least(end - n, F.lit(before)) + n + after)
+    window = F.zip_with(ends, F.transform(hits, F.length), cut)
     tokens = F.flatten(F.transform(window, lambda w: F.regexp_extract_all(w, F.lit(r"(?<![0-9.,])[0-9]+(?:\.[0-9]+)?(?![0-9])"), F.lit(0))))
     fine = lambda t: ~t.rlike("^[0-9]{5}$") & ~t.rlike("^(19|20)[0-9]{2}$") & (t.cast("double") <= most)
     return F.array_distinct(F.filter(tokens, fine))

@@ -69,3 +69,9 @@ def test_numeric(spark):
     cover = lambda a, b: one(spark, a, lambda c: numeric.suitability(c, F.lit(b), 461, 2497), "double")
     assert [cover(400.0, 2600.0), cover(1300.0, 2000.0), cover(500.0, 2000.0), cover(500.0, 2600.0), cover(400.0, 2000.0), cover(None, 1.0)] == ["full", "long_only", "partial_both", "starts_late", "ends_early", "missing"]
     assert one(spark, 1.0, lambda c: numeric.flag_mask(invalid=c > 0, negative=c < 0, excessive=c > 0, distance=F.lit(None).cast("boolean")), "double") == 33
+
+
+def test_numbers_near_every_hit(spark):
+    words = "index " + "x" * 250 + " index " + "y" * 200
+    got = spark.createDataFrame([(words + " 48 " + "z" * 200 + " 77",), ("nothing 48",), (None,)], "t string").select(text.numbers_near(F.col("t"), "index").alias("n")).collect()
+    assert [r.n for r in got] == [["48"], [], None]
