@@ -48,11 +48,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that every later step has read in full."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: they stay until the driver's collector finds them unused."""
+    """Let go of the shuffle files of finished steps now: else they stay until the driver's collector next runs."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -77,9 +87,11 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, tag)
+        discard(least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), tag)
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), tag)
+        last, now = now, materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), tag)
+        discard(least, large, last)
         after = now.agg(stamp).first()
         if after == before:
             break
@@ -123,6 +135,18 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of integers, all first bytes before all second ones: sorted numbers then compress well."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(packed: bytes, width: int) -> np.ndarray:
+    """The integers of planes()."""
+    out = np.zeros((len(packed) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[start:end], the same wherever the same bytes stand."""
     return (sums[end] - sums[start]) * _power("inv", len(sums))[start]

@@ -61,6 +61,39 @@ def test_nulls_empties_repeats(spark):
     assert ngram_components(docs.limit(0)).count() == 0
 
 
+def test_ids_that_are_null(spark):
+    """Components without an id stay apart, as different texts of one id do."""
+    docs = spark.createDataFrame([(None, "a b c", 1), (None, "d e f", 2), (4, "g h i", 3), (4, "j k l", 4), (4, "j k l", 4)], "doc_id long, text string, n int")
+    assert sorted(r.n for r in keep_one(docs).collect()) == [1, 2, 3, 4]
+
+
+def test_hot_ngrams_and_small_slices(spark, monkeypatch):
+    """One line in most documents, copies by the hundred, and sets over many slices."""
+    import random
+
+    draw = random.Random(5)
+    line = " ".join(f"h{i}" for i in range(30))
+    rows = []
+    for i in range(400):
+        own = " ".join(f"w{draw.randrange(10**6)}" for _ in range(draw.choice([3, 5, 30, 120])))
+        rows.append((2 * i, f"{line} {own}" if i % 3 else own))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, rows[-1][1] + draw.choice(["", " more", " a b c d e f g"])))
+    rows += [(10**5 + i, f"{line} {line[:i % 40]} end") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(docs, 3, 80, 100).collect()), key=str)
+    assert got == brute(rows, 3, 80, 100)
+
+
+def test_lists_longer_than_a_block(spark):
+    """Sets that share their rarest n-grams with many others but link with few of them."""
+    common = [f"c{i}" for i in range(8)]
+    rows = [(i, " ".join([*common, *(f"p{i // 2}x{j}" for j in range(3)), f"q{i}"])) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(docs, 1, 80, 100).collect()), key=str)
+    assert got == sorted(((d, 12, d - d % 2) for d, _ in rows), key=str)
+
+
 @pytest.mark.parametrize("size,num", [(10, 80), (40, 90)])
 def test_chains_of_near_copies(spark, size, num):
     """In each of many chains X links L and M, and L and M do not link each other."""
