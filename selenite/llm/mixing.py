@@ -9,6 +9,7 @@ then follows from its own key and its source's cut, so that texts are never shuf
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,12 +31,12 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(each.between(3, 12), 1.0).otherwise(0.5)
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
+def _sized(docs: DataFrame, seed: int, quality: Column | None) -> DataFrame:
     """docs with __size, __tie and __key, each a function of the row alone."""
-    size = F.col("__size")
-    tie = F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    tie = F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.coalesce("text", F.lit(""))).cast("binary"))
     unit = (F.conv(F.substring("__tie", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    key = -F.ln(unit) / quality_weight(F.col("text"), size)
+    weight = quality_weight(F.col("text"), F.col("__size")) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1e-9)
+    key = -F.ln(unit) / weight
     return docs.withColumn("__size", word_count(F.col("text"))).withColumn("__tie", tie).withColumn("__key", key)
 
 
@@ -77,43 +78,52 @@ def _cuts(sized: DataFrame, share: float, weights: Sequence[int], cap: float) ->
     taken = inside.withColumn("upto", upto).where(F.col("before") + F.col("upto") - F.col("__size") / 2 <= F.col("rest"))
     last = taken.groupBy("source").agg(F.max(F.struct("__key", "__tie")).alias("last")).select(F.col("source").alias("l_source"), "last")
     cut = plan.join(ends.select("e_source", "e_b"), F.col("source").eqNullSafe(F.col("e_source")), "left").join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
-    return materialize(cut.select(F.col("source").alias("c_source"), "source_size", "target", "epochs", F.coalesce("e_b", F.lit(BUCKETS)).alias("e_b"), "last"), "cuts")
+    names = {"source": "__c_source", "source_size": "__source_size", "target": "__target", "epochs": "__epochs", "last": "__last"}
+    return materialize(cut.select(*(F.col(k).alias(v) for k, v in names.items()), F.coalesce("e_b", F.lit(BUCKETS)).alias("__e_b")), "cuts")
 
 
-def _given(sized: DataFrame, cuts: DataFrame) -> DataFrame:
-    """sized with __copies, the number of times that the mix takes the row."""
+def _given(sized: DataFrame, cuts: DataFrame, cap: float) -> DataFrame:
+    """sized with __copies, the number of times that the mix takes the row; an empty one never more often than others may be."""
     b = _bucket()
     own = F.struct("__key", "__tie")
-    chosen = (b < F.col("e_b")) | ((b == F.col("e_b")) & F.coalesce(own <= F.col("last"), F.lit(False)))
-    return sized.join(cuts, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("__copies", F.col("epochs") + chosen.cast("long"))
+    chosen = (b < F.col("__e_b")) | ((b == F.col("__e_b")) & F.coalesce(own <= F.col("__last"), F.lit(False)))
+    copies = F.least(F.col("__epochs") + chosen.cast("long"), F.lit(math.ceil(cap)).cast("long"))
+    return sized.join(cuts, F.col("source").eqNullSafe(F.col("__c_source"))).withColumn("__copies", copies)
 
 
-def mixed_sizes(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), cap: float = 2.0, seed: int = 7) -> DataFrame:
+def mixed_sizes(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), cap: float = 2.0, seed: int = 7, quality: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row of docs(doc_id, text, source).
 
     A size is the number of words; a null text has none. Sources in order of code point, null last, have the weights in
     turn. The row at a budget's end is taken if that comes nearer, so a source's sum is off by half a document at most.
-    Keys depend on seed, doc_id and the text's weight alone: reruns agree, and rows with one doc_id and weight are taken
-    together. Without words every target is 0. Other columns are not read.
+    Keys depend on seed, doc_id, text and its weight alone: reruns agree, and rows repeated whole are taken together.
+    quality names a column of weights (null or not above 0: last); without it, texts weigh by quality_weight. Without
+    words every target is 0. Other columns are not read.
     """
-    sized = materialize(_sized(docs.select("doc_id", "text", "source"), seed).drop("text"), "sized")
-    out = _given(sized, _cuts(sized, share, weights, cap))
-    return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"))
+    weight = None if quality is None else F.col(quality)
+    sized = docs.select("doc_id", "text", "source", *([quality] if quality else []))
+    sized = materialize(_sized(sized, seed, weight).select("doc_id", "source", "__size", "__tie", "__key"), "sized")
+    out = _given(sized, _cuts(sized, share, weights, cap), cap)
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"))
 
 
-def mixture(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
+def mixture(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), cap: float = 2.0, seed: int = 7, quality: str | None = None) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, at most cap times rounded up.
+
+    quality names a column of weights, such as a classifier's scores; what is null or not above 0 comes last. Columns
+    of any name are passed on but those that start with two underscores, which must not be there. Empty docs give none.
+    """
     columns = docs.columns
-    sized = _sized(docs, seed)
+    sized = _sized(docs, seed, None if quality is None else F.col(quality))
     cuts = _cuts(materialize(sized.select("source", "__size", "__tie", "__key"), "sized"), share, weights, cap)
-    out = _given(sized, cuts)
+    out = _given(sized, cuts, cap)
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*columns)
 
 
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(strlen(text), 0) AS bytes,
-    md5('mix-7-' || coalesce(doc_id::VARCHAR, 'null')) AS tie FROM documents),
+    md5('mix-7-' || coalesce(doc_id::VARCHAR, 'null') || '-' || coalesce(text, '')) AS tie FROM documents),
 keyed AS (
   SELECT *, -ln((('0x' || substr(tie, 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / CASE WHEN size > 0 AND bytes / size BETWEEN 3 AND 12 THEN 1.0 ELSE 0.5 END AS k FROM sized),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -129,7 +139,6 @@ spent AS (
   SELECT doc_id, size, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0) AS epochs,
     sum(size) OVER (PARTITION BY k.source ORDER BY k, tie ROWS UNBOUNDED PRECEDING) AS upto
   FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN upto - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken,
-  (epochs + CASE WHEN upto - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM spent
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies
+FROM (SELECT *, least(2, epochs + CASE WHEN upto - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS copies FROM spent)
 """

@@ -40,8 +40,19 @@ def test_sums_come_near_targets_and_edges(spark):
         sums[source[r.doc_id]] += r.taken
         at[source[r.doc_id]] = r.target
     assert all(abs(sums[s] - at[s]) <= 5000 for s in at)
+    clashing = docs.select("*", *(F.lit(1).alias(c) for c in ("target", "epochs", "last", "source_size", "e_b", "copies")))
+    assert mixing.mixture(clashing).columns == clashing.columns
     mix = mixing.mixture(docs)
     assert mix.columns == docs.columns
     words = mix.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words == sum(sums.values())
     assert mixing.mixed_sizes(docs.limit(0)).count() == 0
+
+
+def test_weights_of_a_column(spark):
+    rows = [(i, "w " * 10, "x", 0.9 if i % 2 else 0.01) for i in range(2000)] + [(9999, "", "x", 0.5), (10000, "a b", "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
+    got = mixing.mixed_sizes(docs, share=0.5, quality="score").collect()
+    taken = [r.doc_id for r in got if r.taken]
+    assert sum(d % 2 for d in taken) > 0.95 * len(taken) > 900
+    assert max(r.copies for r in mixing.mixed_sizes(docs, share=2.0).collect()) == 2
