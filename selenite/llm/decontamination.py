@@ -173,6 +173,14 @@ class Items:
         pick = row.argmin(axis=1)[:, None]
         return np.take_along_axis(start, pick, 1)[:, 0], np.take_along_axis(columns, pick, 1)[:, 0] + self.part
 
+    def rows_near(self, offs: np.ndarray, item: int, diagonal: int) -> Iterator[int]:
+        """The texts that the band reaches and that are long enough for the item."""
+        k, size = int(self.edits[item]), len(self.texts[item])
+        first, last = np.searchsorted(offs, [max(diagonal - k, 0), max(diagonal + 3 * k + 2 + size, 0)], "right")
+        for row in range(max(int(first) - 1, 0), min(int(last), len(offs) - 1)):
+            if offs[row + 1] - 1 - offs[row] >= size - k:
+                yield row
+
     def aligned(self, data: np.ndarray, item: int, diagonal: int) -> tuple[int, int] | None:
         """Start and end in data of an alignment of the whole item within its edits, in the band from this diagonal."""
         want, k = self.texts[item], int(self.edits[item])
@@ -226,18 +234,19 @@ def _searched(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Re
             for item, diagonal in zip(*items.regions(at, place, of, items.edits, items.bounds), strict=True):
                 if before[0] == item and before[1] >= diagonal and before[2] > diagonal:
                     continue  # the same passage in the next band
-                found = items.aligned(data, item, diagonal)
-                if found is None:
-                    continue
-                row = int(np.searchsorted(offs, max(found[0], 0), "right")) - 1
-                if 0 in data[found[0] : found[1]] or last.get((row, item), -1) > found[0]:
-                    continue
-                if len(items.texts[item]) < items.least and (_in_word(data, found[0] - 1) or _in_word(data, found[1])):
-                    continue
-                last[row, item] = found[1]
-                before = item, found[0], found[1]
-                free &= (of != item) | (at < found[0]) | (at >= found[1])
-                out.append((keys[lo + row], items.ids[item], found[0] - int(offs[row]), found[1] - int(offs[row])))
+                for row in items.rows_near(offs, item, diagonal):
+                    found = items.aligned(data[offs[row] : offs[row + 1] - 1], item, diagonal - int(offs[row]))
+                    if found is None:
+                        continue
+                    found = found[0] + int(offs[row]), found[1] + int(offs[row])
+                    if last.get((row, item), -1) > found[0]:
+                        continue
+                    if len(items.texts[item]) < items.least and (_in_word(data, found[0] - 1) or _in_word(data, found[1])):
+                        continue
+                    last[row, item] = found[1]
+                    before = item, found[0], found[1]
+                    free &= (of != item) | (at < found[0]) | (at >= found[1])
+                    out.append((keys[lo + row], items.ids[item], found[0] - int(offs[row]), found[1] - int(offs[row])))
             for item, start, end in items.partial(data, offs, at[free], place[free], of[free]):
                 row = int(np.searchsorted(offs, start, "right")) - 1
                 out.append((keys[lo + row], items.ids[item], start - int(offs[row]), end - int(offs[row])))
@@ -253,24 +262,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, budget: float
 
     Offsets are in the normalised text. A part is made of windows of PART bytes of the item, each within the budget.
     Items shorter than `least` normalised bytes are found without edits, between word ends; those shorter than a q-gram
-    only where they are the whole text. Empty and null items are left out; null texts hold nothing. Items go to the workers in passes of about PASS_BYTES, however many there
-    are; key is a hash of id and text.
+    only where they are the whole text. Empty and null items are left out; null texts hold nothing. Items go to the workers in passes of about PASS_BYTES each, one after the
+    other: driver and workers hold one index, about 25 bytes a byte, and the documents are read once a pass. key is a
+    hash of id and text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     passes = -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES)
-    found = spark.createDataFrame([], "key long, item_id long, start long, end long") if not passes else None
+    schema = "key long, item_id long, start long, end long"
+    found = spark.createDataFrame([], schema)
     for k in range(passes):
         part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
         items = spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in part], gram, budget, least))
-        one = rows.mapInArrow(lambda batches, items=items: _searched(batches, items.value), "key long, item_id long, start long, end long")
-        found = one if found is None else found.unionByName(one)
+        one = rows.mapInArrow(lambda batches, items=items: _searched(batches, items.value), schema)
+        if passes > 1:  # written at once, so that driver and workers hold one index at a time
+            one = materialize(one, "pass")
+            items.destroy()
+        found = found.unionByName(one) if k else one
     return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(key, items, n_passages) of the rows of docs that hold passages of the benchmark."""
+    """(key, items, n_passages) of the rows of docs that hold passages of the benchmark, as leaks() finds them; no others."""
     found = leaks(docs, benchmark).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.count(F.lit(1)).alias("n_passages"))
     return materialize(found, "leaks")
 
@@ -286,6 +300,6 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no passage of the benchmark."""
+    """The rows of docs that hold no passage of the benchmark: null and empty texts and repeated rows stay; docs must not have a column __key."""
     found = contaminated(docs, benchmark).select(F.col("key").alias("__key"))
     return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(found, "__key", "left_anti").drop("__key")

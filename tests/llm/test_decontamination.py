@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from selenite.llm import decontamination
 from selenite.llm.decontamination import Items, keep_clean, leaks, marked, normalized
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +112,21 @@ def test_short_items(spark):
     bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "Yes"), (3, "an old oak")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "So: who  wrote it? Nobody"), (2, " yes\n"), (3, "oh yes"), (4, "than an old oaken"), (5, "Who wrote ita?"), (6, "an old oak")], "doc_id long, text string")
     assert {r.doc_id: list(r["items"]) for r in marked(docs, bench).where("contaminated").collect()} == {1: [1], 2: [2], 6: [3]}
+
+
+def test_passages_at_the_ends_of_neighbours(spark):
+    """A band that reaches into the next text is aligned in each text by itself; several passes give the same."""
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    docs = spark.createDataFrame([(1, item[:40]), (2, item), (3, item[30:]), (4, item), (5, "x")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.marked(docs, bench).where("contaminated").collect()) == [2, 4]
+    assert sorted(r.doc_id for r in decontamination.keep_clean(docs, bench).collect()) == [1, 3, 5]
+
+
+def test_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 100)
+    items = [f"question number {i} asks for the colour of the {i} th flag over the town hall" for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(items)) + [(99, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontamination.marked(docs, bench).collect()}
+    assert got.pop(99) == [] and all(i in v for i, v in got.items())
