@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -166,12 +167,18 @@ def read_records(stream: BinaryIO, payloads: bool = False) -> Iterator[Record]:
         yield record
 
 
-def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _written(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(archive, value): the records of a task with the number of the archive that each goes to, by the bytes before it."""
+    total = 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            cols = (part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))
-            yield pa.RecordBatch.from_arrays([pa.array([record_bytes(*row)[:-1] for row in zip(*cols, strict=True)], pa.binary())], ["value"])
+        for lo in range(0, batch.num_rows, 100):
+            part = batch.slice(lo, 100)
+            records, numbers = [], []
+            for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+                records.append(record_bytes(*row)[:-1])
+                numbers.append(total // archive_bytes)
+                total += len(records[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(records, pa.binary())], ["archive", "value"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +192,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> str:
+def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write a record per row of pages(page_id, url, html) below path, each file a valid series of gzip members.
 
     A null html is an empty payload. Of rows with equal payloads of at least revisit_bytes, those with the largest
-    page_id are responses and the others revisit it; null page_ids count as smallest. Other columns are not read.
+    page_id are responses and the others revisit it; null page_ids count as smallest. An archive ends with the record that
+    brings it to archive_bytes, so that it fits in a reader's memory however long the pages are. Other columns are not
+    read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
@@ -197,15 +206,23 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
     known = rows.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
     copies = known.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     copies = materialize(copies.where("n > 1 and winner is not null").select("digest", "size", "winner"), "copies")
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("b")).first()
-    each = max(1, ARCHIVE_BYTES * totals.n // max(1, totals.b))
     marked = known.join(copies, ["digest", "size"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner")))
-    records = marked.select("page_id", "url", "payload", "refers_to").mapInArrow(_written, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", each).text(path)
+    records = marked.select("page_id", "url", "payload", "refers_to").mapInArrow(partial(_written, archive_bytes=archive_bytes), "archive int, value binary")
+    records.select("archive", F.col("value").cast("string")).write.partitionBy("archive").option("lineSep", "\x00").text(path)
     return path
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record below path."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+w AS (SELECT digest, n, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY ALL)
+SELECT page_id, p.n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN winner IS NULL OR page_id IS NOT DISTINCT FROM winner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM p LEFT JOIN w USING (digest, n)
+"""

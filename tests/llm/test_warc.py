@@ -39,3 +39,15 @@ def test_archives(spark):
         want.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if copy else "response", top if copy else None))
     assert got == sorted(want, key=str)
     assert read_archives(spark, write_archives(pages.limit(0), fresh_path(spark, "warc"))).count() == 0
+
+
+def test_archives_end_by_bytes(spark):
+    """Long pages after short ones: no archive grows beyond its bytes by more than a record."""
+    import random
+
+    draw = random.Random(1)
+    rows = [(i, "u", "short" if i < 500 else "".join(chr(draw.randrange(33, 126)) for _ in range(20_000))) for i in range(540)]
+    path = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), fresh_path(spark, "warc"), archive_bytes=50_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    assert len(sizes) > 5 and max(sizes) < 75_000
+    assert sorted(r.page_id for r in read_archives(spark, path).collect()) == list(range(540))
