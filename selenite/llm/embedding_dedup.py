@@ -71,7 +71,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], tables: int, hashes: int) -> Itera
         lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
         flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         begins = np.r_[0, np.cumsum(lengths)]
-        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        label = batch.column("label").to_numpy(zero_copy_only=False).view(np.uint64)
         for width in np.unique(lengths):
             for at in np.array_split(np.flatnonzero(lengths == width), -(-int((lengths == width).sum()) // 2000)):
                 x = flat[begins[at][:, None] + np.arange(width)]
@@ -116,9 +116,8 @@ def _block(frame: pd.DataFrame, least: float) -> pd.DataFrame:
             root[max(a, b)] = min(a, b)
             out.append((a, b))
     tree, linked = np.array(out, np.int64).reshape(-1, 2), np.flatnonzero(counts)
-    edges = pd.DataFrame({"a": ids[tree[:, 0]], "b": pd.array(ids[tree[:, 1]], "Int64"), "n": 0})
-    sums = pd.DataFrame({"a": ids[linked], "b": pd.array([None] * len(linked), "Int64"), "n": counts[linked].astype(np.int64)})
-    return pd.concat([edges, sums], ignore_index=True)
+    ends = np.r_[ids[tree[:, 1]], np.full(len(linked), None, object)]
+    return pd.DataFrame({"a": np.r_[ids[tree[:, 0]], ids[linked]], "b": ends, "n": np.r_[np.zeros(len(tree), np.int64), counts[linked].astype(np.int64)]})
 
 
 def _cosine(x: Column, y: Column) -> Column:
@@ -131,18 +130,22 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, tables: int
 
     Vectors link when their labels are equal and not null, their lengths are equal, and their cosine is at least `least`.
     Null, empty and zero vectors and those with null or non-finite components link with nothing. Equal vectors of a label
-    are one class from the start, whatever their number: they link with each other and count severally. A row that
-    links with nothing is its own component; component_id is the smallest non-null vec_id. Other columns are not read.
+    are one class from the start, whatever their number, and so are those that differ by a power of 2: they link with
+    each other and count severally. Labels of any type are known by 64 bits of hash, classes by 128. Components of any
+    finite size are right, as a vector is first divided by a power of 2. A row that links with nothing is its own
+    component; component_id is the smallest non-null vec_id. Other columns are not read.
     """
-    doubles = F.transform("embedding", lambda v: v.cast("double"))
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), doubles.alias("vector"))
-    size = F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v * v)
-    usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)
-    usable &= F.coalesce(size > 0, F.lit(False)) & ~F.isnan(size) & (size < float("inf"))
-    rows = rows.select("vec_id", "label", "vector", F.when(usable, F.xxhash64("label", "vector")).alias("node"))
+    rows = vectors.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
+    most = F.array_max(F.transform("vector", F.abs))
+    usable = F.col("label").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", F.isnull) & (most > 0) & (most < float("inf"))
+    rows = rows.select("vec_id", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label")).alias("label"), "vector", F.pow(F.lit(2.0), F.floor(F.log2(most))).alias("unit"))
+    scaled = F.when(F.col("label").isNotNull(), F.transform("vector", lambda v: v / F.col("unit") + 0.0))
+    rows = rows.select("vec_id", "label", scaled.alias("vector"))
+    both_hashes = F.concat(F.hex(F.xxhash64("label", "vector")), F.lit("-"), F.hex(F.xxhash64("vector", "label", F.lit(1))))
+    rows = rows.select("vec_id", "label", "vector", F.when(F.col("label").isNotNull(), both_hashes).alias("node"))
     classes = rows.where("node is not null").groupBy("label", "vector").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"))
     classes = materialize(classes, "classes")
-    keyed = materialize(classes.select("node", "label", "vector", "copies").mapInArrow(partial(_keyed, tables=tables, hashes=hashes), "node long, copies long, vector array<double>, keys array<long>"), "keyed")
+    keyed = materialize(classes.select("node", "label", "vector", "copies").mapInArrow(partial(_keyed, tables=tables, hashes=hashes), "node string, copies long, vector array<double>, keys array<long>"), "keyed")
     entries = keyed.select("node", F.explode(F.array_distinct("keys")).alias("bucket"))
     counts = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     shared = materialize(entries.join(counts, "bucket"), "shared")
@@ -152,13 +155,13 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, tables: int
     side = lambda s: keyed.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("copies", "vector", "keys")))
     tried = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("bucket") == F.array_min(F.array_intersect("keys_a", "keys_b")))
     found = tried.where(_cosine(F.col("vector_a"), F.col("vector_b")) >= least).select("a", "b", "copies_a", "copies_b")
-    both = found.select(F.inline(F.array(F.struct("a", F.col("b"), F.lit(0).cast("long").alias("n")), F.struct("a", F.lit(None).cast("long").alias("b"), F.col("copies_b").alias("n")), F.struct(F.col("b").alias("a"), F.lit(None).cast("long").alias("b"), F.col("copies_a").alias("n")))))
+    both = found.select(F.inline(F.array(F.struct("a", F.col("b"), F.lit(0).cast("long").alias("n")), F.struct("a", F.lit(None).cast("string").alias("b"), F.col("copies_b").alias("n")), F.struct(F.col("b").alias("a"), F.lit(None).cast("string").alias("b"), F.col("copies_a").alias("n")))))
 
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     at = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
     large = shared.where(F.col("m") > SMALL).select("bucket", "node", chunk.alias("chunk"), F.explode(at).alias("at")).select("bucket", "node", "chunk", "at.i", "at.j")
-    blocks = large.join(keyed, "node").groupBy("bucket", "i", "j").applyInPandas(lambda frame: _block(frame, least), "a long, b long, n long")
+    blocks = large.join(keyed, "node").groupBy("bucket", "i", "j").applyInPandas(lambda frame: _block(frame, least), "a string, b string, n long")
     links = materialize(both.unionByName(blocks), "links")
 
     roots = connected_components(links.where("b is not null").select("a", "b"))
@@ -170,3 +173,19 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, tables: int
     out = rows.select("vec_id", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_sum(list_transform(embedding, lambda c: abs(c))) > 0),
+n AS (SELECT *, sqrt(list_dot_product(x, x)) AS size FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN l ON l.a = r.node WHERE r.root < l.b),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+c AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON node = e.vec_id LEFT JOIN c ON c.vec_id = e.vec_id
+"""

@@ -49,3 +49,19 @@ def test_against_all_pairs(spark):
     assert got.keys() == want.keys() and 0.999 * there <= found <= there
     assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
     assert near_duplicate_vectors(frame.limit(0)).count() == 0
+
+
+def test_labels_and_sizes_of_any_kind(spark):
+    """Text labels, labels that differ in their decimals, and components whose squares are too large or too small."""
+    rows = [(1, [1e200, 2e200], "x"), (2, [1e-200, 2e-200], "x"), (3, [5e-324, 1e-323], "x"), (4, [1.0, 2.0], "y"), (5, [-0.0, 1.0], "y"), (6, [0.0, 3.0], "y"), (7, [1e200, float("inf")], "x"), (8, [1.0, None], "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+    frame = spark.createDataFrame([(1, [1.0, 2.0], 0.25), (2, [1.0, 2.0], 0.5), (3, [2.0, 4.0], 0.5)], "vec_id long, embedding array<double>, label double")
+    assert {r.vec_id: r.component_id for r in near_duplicate_vectors(frame).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_recall_on_the_table(spark):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    want, got = brute(rows), near_duplicate_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()
+    assert sum(r.n_links for r in got) >= 0.99 * sum(v[0] for v in want.values())
