@@ -311,3 +311,21 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     keys = materialize(least.select("first.__key", "first.__check"), "keep")
     free_shuffles(docs.sparkSession)
     return keyed.join(keys, ["__key", "__check"], "left_semi").dropDuplicates(["__key", "__check"]).drop("__key", "__check")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  WHERE 90 * greatest(a.n, b.n) <= 100 * least(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * common >= 90 * (n + m - common)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node WHERE r.root < e.b),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, component_id FROM s JOIN least ON node = doc_id
+"""

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html_extraction, mixing, pii, quality, sharding, suffix_dedup, warc
+from . import decontamination, embedding_dedup, html_extraction, mixing, ngram_join, pii, quality, sharding, suffix_dedup, warc
 from .common import fresh_path, read_table
-from .ngram_join import ngram_components
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.9 on three-word shingles."""
-    return ngram_components(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.SQL,
+    "op4_warc_round_trip": warc.SQL,
+    "op5_cross_polytope": embedding_dedup.SQL,
+    "op7_ngram_jaccard_join": ngram_join.SQL,
+    "op8_suffix_array_dedup": suffix_dedup.SQL,
+}

@@ -249,3 +249,21 @@ def repeated_removed(docs: DataFrame, length: int = 200) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").join(spans, "key", "left")
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
     return rows.select("doc_id", "text", "spans").mapInArrow(partial(_cut, length=length), schema)
+
+
+SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT row, b, unnest(range(1, octet_length(b) - 198)) AS i FROM t WHERE octet_length(b) >= 200),
+h AS (SELECT row, i, md5_number(b[i:i + 199]) AS h FROM p),
+d AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+c AS (SELECT row, i FROM h SEMI JOIN d USING (h)),
+f AS (SELECT row, i, i > lag(i) OVER (PARTITION BY row ORDER BY i) + 200 OR lag(i) OVER (PARTITION BY row ORDER BY i) IS NULL AS new FROM c),
+g AS (SELECT row, i, sum(new::INT) OVER (PARTITION BY row ORDER BY i) AS span FROM f),
+s AS (SELECT row, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY row, span),
+k AS (SELECT row, lo, hi, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS before FROM s),
+r AS (SELECT row, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans, max(hi) AS last FROM s GROUP BY row),
+kept AS (SELECT k.row, string_agg(CASE WHEN lo - 1 > before THEN hex(b[before + 1:lo - 1]) ELSE '' END, '' ORDER BY lo) AS x FROM k JOIN t USING (row) GROUP BY k.row)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(x || CASE WHEN octet_length(b) > last THEN hex(b[last + 1:octet_length(b)]) ELSE '' END)) END AS kept_sha256
+FROM t LEFT JOIN r USING (row) LEFT JOIN kept USING (row)
+"""
