@@ -27,6 +27,30 @@ def safe_ratio(n: Column, d: Column, floor: float = 1e-12) -> Column:
     return F.when(F.abs(ratio) < float("inf"), ratio)
 
 
+def both_ratios(a: Column, b: Column, floor: float = 1e-12) -> Column:
+    """struct(ab, ba): the ratio in both directions, each null where its denominator is too near to 0."""
+    return F.struct(safe_ratio(a, b, floor).alias("ab"), safe_ratio(b, a, floor).alias("ba"))
+
+
+def general_format(c: Column, digits: int = 6) -> Column:
+    """A number as C's %.{digits}g writes it: significant digits without trailing zeros, an exponent if it is below -4 or too large.
+
+    Ties of the shortest decimal form go up, where C would round the binary value."""
+    plain = F.format_string(f"%.{digits - 1}e", c.cast("double"))
+    sign = F.when(plain.startswith("-"), "-").otherwise("")
+    figures = F.regexp_replace(F.regexp_replace(plain, "e.*$", ""), "[-.]", "")
+    power = F.regexp_extract(plain, "e(.*)$", 1).cast("int")
+    point = lambda whole, rest: F.regexp_replace(F.concat(whole, F.lit("."), rest), r"\.?0*$", "")
+    fixed = F.when(power >= 0, point(F.substring(figures, F.lit(1), power + 1), F.substring(figures, power + 2, F.lit(digits)))).otherwise(point(F.lit("0"), F.concat(F.repeat(F.lit("0"), -power - 1), figures)))
+    wide = F.concat(point(F.substring(figures, 1, 1), F.substring(figures, 2, digits)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return F.when(c.isNotNull(), F.when((power < -4) | (power >= digits), F.concat(sign, wide)).otherwise(F.concat(sign, fixed)))
+
+
+def utc_stamp(at: Column | None = None) -> Column:
+    """A time (now, unless given) as ISO text in UTC to the second."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def principal_angle(x: Column, y: Column, x0: float, y0: float) -> Column:
     dx, dy = x - x0, y - y0
     upright = F.when(-dy < 0, F.lit(-math.pi / 2)).otherwise(F.lit(math.pi / 2))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 # Words of the three readings of a truth value, and the class order of child keys.
 FALSE_WORDS = ("", "0", "false", "n", "no", "none", "null")
 TRUE_WORDS = ("1", "true", "t", "y", "yes")
-#: A sample number is five digits, of which these begin missions.
-MISSIONS = {"10": "11", "12": "12", "14": "14", "15": "15", "60": "16", "61": "16", "62": "16", "63": "16", "64": "16", "65": "16", "66": "16", "67": "16", "68": "16", "69": "16", "70": "17", "71": "17", "72": "17", "73": "17", "74": "17", "75": "17", "76": "17", "77": "17", "78": "17", "79": "17"}
-PARENT = r"(?<![0-9])([1-7][0-9]{4})(?![0-9])"
-GROUPED = r"(?<![0-9])([1-7][0-9]),([0-9]{3})(?:\s*,\s*([0-9A-Za-z.]+))?(?![0-9])"
+# A sample number is five digits; these first two digits are of the early missions, a first 6 or 7 of the last two.
+EARLY = {"10": "Apollo 11", "12": "Apollo 12", "14": "Apollo 14", "15": "Apollo 15"}
+LATE = {"6": "Apollo 16", "7": "Apollo 17"}
+PARENT = r"(?<![0-9])(10[0-9]{3}|12[0-9]{3}|14[0-9]{3}|15[0-9]{3}|6[0-9]{4}|7[0-9]{4})(?![0-9])"
+GROUPED = r"(?<![0-9])(1[0245]|[67][0-9])\s*,\s*([0-9]{3})(?:\s*,\s*([A-Za-z0-9_-]+))?(?![0-9])"
+OUTSIDE = r"(?i)\b(luna|lunokhod)\b"
 
 
 def clean(c: Column) -> Column:
@@ -76,34 +78,39 @@ def numbers_in(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"(?<![0-9.])[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
 
 
-def sample_reference(name: Column, outside: str = r"(?i)\b(luna|meteorite)\b") -> Column:
+def sample_reference(name: Column, location: Column | None = None, outside: str = OUTSIDE) -> Column:
     """struct(scope, parent, normalized, has_context) of a free-text sample name.
 
-    Names matching `outside` are of no known scope; thousands-grouped ids such as 10,003,173 come before plain ones.
+    Names or locations matching `outside` are of no known scope; thousands-grouped ids such as 10,003,173 come before
+    plain ones. Only numbers that begin as the missions' do are parents.
     """
     text = clean(F.coalesce(name, F.lit("")))
+    away = (text if location is None else F.concat_ws(" ", text, location)).rlike(outside)
     grouped = F.regexp_extract(text, GROUPED, 0) != ""
-    parent = F.when(grouped, F.concat(F.regexp_extract(text, GROUPED, 1), F.regexp_extract(text, GROUPED, 2))).otherwise(F.regexp_extract(text, PARENT, 1))
-    plain = PARENT + r"(?:\s*[,.;]\s*([0-9A-Za-z]+))?"
+    plain = PARENT + r"(?:\s*[,.;]\s*([A-Za-z0-9_-]+))?"
+    parent = F.when(grouped, F.concat(F.regexp_extract(text, GROUPED, 1), F.regexp_extract(text, GROUPED, 2))).otherwise(F.regexp_extract(text, plain, 1))
     suffix = F.when(grouped, F.regexp_extract(text, GROUPED, 3)).otherwise(F.regexp_extract(text, plain, 2))
-    rest = clean(F.when(grouped, F.regexp_replace(text, GROUPED, " ")).otherwise(F.regexp_replace(text, plain, " ")))
-    known = ~text.rlike(outside) & (parent != "")
-    scope = F.when(text.rlike(outside), "outside").when(parent == "", "unparsed").otherwise("known")
+    found = F.when(grouped, F.regexp_extract(text, GROUPED, 0)).otherwise(F.regexp_extract(text, plain, 0))
+    known = ~away & (parent != "")
+    scope = F.when(away, "outside").when(parent == "", "unparsed").otherwise("known")
     return F.struct(
         scope.alias("scope"), F.when(known, parent).alias("parent"),
         F.when(known, F.concat(parent, F.when(suffix != "", F.concat(F.lit(","), suffix)).otherwise(""))).alias("normalized"),
-        (known & ((suffix != "") | (rest != ""))).alias("has_context"),
+        (known & ((suffix != "") | (F.length(clean(text)) > F.length(clean(found))))).alias("has_context"),
     )
 
 
 def mission_of(parent: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in MISSIONS.items() for x in pair))
-    return F.element_at(table, F.substring(parent, 1, 2))
+    """The mission of a sample number, from the first digits in it; null if they are of none."""
+    digits = F.regexp_replace(parent, "[^0-9]", "")
+    early = F.create_map(*(F.lit(x) for pair in EARLY.items() for x in pair))
+    late = F.create_map(*(F.lit(x) for pair in LATE.items() for x in pair))
+    return F.when(F.length(digits) >= 2, F.coalesce(F.try_element_at(early, F.substring(digits, 1, 2)), F.try_element_at(late, F.substring(digits, 1, 1))))
 
 
 def catalogue_ids(c: Column) -> Column:
-    """Five-digit ids of a text in order, each once, also written 15,041 or with a letter."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<![0-9,])[1-7][0-9],?[0-9]{3}[A-Z]?(?![0-9,][0-9])(?![0-9])"), F.lit(0))
+    """Ids of five digits in a text in order, each once, also with letters after them or written 15,041."""
+    found = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9])(?:[0-9]{5}[A-Za-z]*|[0-9]{2},[0-9]{3}[A-Za-z]*)(?![A-Za-z0-9])"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, ",", "")))
 
 

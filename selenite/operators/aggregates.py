@@ -23,6 +23,14 @@ def member_and_group_means(df: DataFrame, band: str, group: str, value: str) ->
     return one.unionByName(two)
 
 
+def per_pair_distribution(df: DataFrame, pair: str, group: str, value: str) -> DataFrame:
+    """Distribution of the pairs' means over their bands, every pair weighing the same (`pair`) and every group the same (`group`)."""
+    means = df.groupBy(group, pair).agg(F.avg(value).alias("m"))
+    stats = (F.count("m").alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.min("m").alias("least"), F.max("m").alias("most"))
+    one = means.agg(F.lit("pair").alias("weighting"), *stats)
+    return one.unionByName(means.groupBy(group).agg(F.avg("m").alias("m")).agg(F.lit("group").alias("weighting"), *stats))
+
+
 def ratio_of_means(df: DataFrame, keys: Sequence[str], n: str, d: str) -> DataFrame:
     """The ratio of the means beside the mean of the ratios."""
     return df.groupBy(*keys).agg((F.avg(n) / F.avg(d)).alias("ratio_of_means"), F.avg(F.col(n) / F.when(F.abs(d) >= 1e-12, F.col(d))).alias("mean_of_ratios"))
@@ -64,13 +72,19 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str, predicted
 
 def group_mean_metrics(df: DataFrame, keys: Sequence[str], group: str, truth: str, predicted: str) -> DataFrame:
     """Metrics on the means of groups; pairs that are not finite are dropped before grouping."""
-    fine = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    fine = df.where((F.abs(truth) < float("inf")) & (F.abs(predicted) < float("inf")))
     return regression_metrics(fine.groupBy(*keys, group).agg(F.avg(truth).alias(truth), F.avg(predicted).alias(predicted)), keys, truth, predicted)
 
 
 def complete_pivot(df: DataFrame, key: str, band: str, value: str, bands: Sequence[int], prefix: str = "b") -> DataFrame:
-    """A column per band, for the keys that have every band once; the list of bands is given, so no extra pass looks for it."""
-    full = df.where(F.col(band).isin(*bands)).groupBy(key).pivot(band, list(bands)).agg(F.first(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    """A column per band, for the keys that have every band; the list of bands is given, so no extra pass looks for it.
+
+    A second row of a key and band stops the job.
+    """
+    one = df.where(F.col(band).isin(*bands)).groupBy(key, band).agg(F.first(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
+    message = F.concat(F.lit("duplicate band "), F.col(band).cast("string"), F.lit(" of "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    one = one.where(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(message).cast("boolean")))
+    full = one.groupBy(key).pivot(band, list(bands)).agg(F.first("__v").alias("v"), F.count(F.lit(1)).alias("n"))
     whole = F.lit(True)
     for b in bands:
         whole &= F.coalesce(F.col(f"{b}_n") == 1, F.lit(False))

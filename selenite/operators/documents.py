@@ -15,8 +15,8 @@ from .joins import asof_preceding
 def mentions(docs: DataFrame, key: str, text: str, wanted: DataFrame, term: str, pattern: str) -> DataFrame:
     """(key, term, n) of the wanted terms among the tokens of each text: an equi-join on tokens, not a search per term."""
     tokens = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias(term))
-    counts = tokens.groupBy(key, term).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(wanted.select(F.lower(term).alias(term)).distinct(), term, "left_semi")
+    kept = tokens.join(wanted.select(F.lower(term).alias(term)).distinct(), term, "left_semi")
+    return kept.groupBy(key, term).agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_relation(df: DataFrame, keys: Sequence[str], relation: str, rank: Column, position: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selenite.functions import numeric, text
@@ -12,11 +12,21 @@ from selenite.sources import readers, sinks
 from .queries import _r, query, table
 
 
-@query("SELECT p_partkey, CAST(10000 + p_partkey % 60000 AS VARCHAR) AS parent, CAST(10000 + p_partkey % 60000 AS VARCHAR) || ',' || p_size AS normalized, true AS has_context FROM part")
+@query("""
+WITH n AS (SELECT p_partkey, p_size, p_partkey % 8 AS form, CAST([10, 11, 12, 13, 14, 15, 24, 61, 68, 70, 79, 80][p_partkey % 12 + 1] AS VARCHAR) AS two, lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS three FROM part),
+k AS (SELECT *, form = 4 AS away, two IN ('10', '12', '14', '15', '61', '68', '70', '79') AND form <> 7 AS fits FROM n)
+SELECT p_partkey, CASE WHEN away THEN 'outside' WHEN fits THEN 'known' ELSE 'unparsed' END AS scope, CASE WHEN fits AND NOT away THEN two || three END AS parent,
+  CASE WHEN fits AND NOT away THEN two || three || CASE WHEN form IN (1, 2, 3) THEN ',' || p_size WHEN form = 6 THEN ',A-' || p_size ELSE '' END END AS normalized,
+  fits AND NOT away AND form IN (1, 2, 3, 5, 6) AS has_context,
+  CASE WHEN fits AND NOT away THEN CASE two WHEN '10' THEN 'Apollo 11' WHEN '61' THEN 'Apollo 16' WHEN '68' THEN 'Apollo 16' WHEN '70' THEN 'Apollo 17' WHEN '79' THEN 'Apollo 17' ELSE 'Apollo ' || two END END AS mission FROM k""")
 def sample_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample numbers with their suffix out of free text."""
-    name = F.concat(F.lit("bulk of "), (F.lit(10000) + F.col("p_partkey") % 60000).cast("string"), F.lit(","), F.col("p_size").cast("string"), F.lit(" sieved"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.sample_reference(name).alias("s")).select("p_partkey", "s.parent", "s.normalized", "s.has_context")
+    """Sample numbers in the forms that names have: plain, with suffixes, grouped, of another programme, of no mission, too long."""
+    two = F.element_at(F.array(*(F.lit(str(x)) for x in (10, 11, 12, 13, 14, 15, 24, 61, 68, 70, 79, 80))), (F.col("p_partkey") % 12 + 1).cast("int"))
+    three, size = F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.col("p_size").cast("string")
+    forms = [F.concat(two, three), F.concat(two, three, F.lit(","), size), F.concat(two, F.lit(" , "), three, F.lit(","), size), F.concat(two, three, F.lit("."), size, F.lit(" <150 um")), F.concat(F.lit("Luna 24, "), two, three), F.concat(two, three, F.lit(" bulk 125-250 um")), F.concat(F.lit("chip "), two, three, F.lit(";A-"), size), F.concat(two, three, F.lit("7"))]
+    name = F.element_at(F.array(*forms), (F.col("p_partkey") % 8 + 1).cast("int"))
+    found = table(spark, sf_dir, "part").select("p_partkey", text.sample_reference(name).alias("s"))
+    return found.select("p_partkey", "s.scope", "s.parent", "s.normalized", "s.has_context", text.mission_of(F.col("s.parent")).alias("mission"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '<' WHEN c_acctbal > 5000 THEN '~' END AS qualifier, round(abs(c_acctbal), 2) AS value FROM customer")
@@ -111,10 +121,11 @@ def json_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("extra"))
 
 
-@query("SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS INT) AS id FROM supplier")
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS id FROM supplier")
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids after a total sort, for a report of a few rows per supplier."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey")).alias("id"))
+    """Ids in a total order, without a sort in one task."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return sequences.numbered(rows, "s_nationkey", [F.desc("s_acctbal"), F.asc("s_suppkey")]).select("s_suppkey", "id")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (l_discount > 0.05) AS n_discounted, count(*) FILTER (l_returnflag = 'R' AND l_tax = 0) AS n_untaxed_returns FROM lineitem")

@@ -59,7 +59,9 @@ def sniffed_table(spark: SparkSession, path: str, aliases: dict[str, Sequence[st
     chosen = {t: next((known[a] for a in (re.sub("[^a-z0-9]+", "", x.lower()) for x in (t, *names)) if a in known), None) for t, names in aliases.items()}
     if missing := [t for t in needed if chosen.get(t) is None]:
         raise ValueError(f"{path} has no column for: {', '.join(missing)}")
-    rows = df.select(*(clean(F.col(f"`{c}`")).alias(t) if c else F.lit(None).cast("string").alias(t) for t, c in chosen.items()), (F.monotonically_increasing_id() + 2).alias("source_row"))
+    rows = df.select(*(clean(F.col(f"`{c}`")).alias(t) if c else F.lit(None).cast("string").alias(t) for t, c in chosen.items()), F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    begins = rows.groupBy("__file").agg(F.min("__at").alias("__begin"))
+    rows = rows.join(begins, "__file").withColumn("source_row", F.col("__at") - F.col("__begin") + 2).drop("__file", "__at", "__begin")
     named = F.coalesce(F.nullif(F.col(id_column), F.lit("")), F.format_string("csv-row-%06d", F.col("source_row")))
     return rows.withColumn(id_column, named)
 

@@ -24,8 +24,9 @@ def refuse_existing(spark: SparkSession, paths: Sequence[str], overwrite: bool)
         raise FileExistsError(f"outputs exist: {', '.join(there)}")
 
 
-def manifest(spark: SparkSession, tables: dict[str, DataFrame], parameters: dict[str, str], warnings: DataFrame | None = None, most: int = 100) -> DataFrame:
-    """One row: counts of the tables, parameters, and the first warnings; write.json makes it a file."""
+def manifest(spark: SparkSession, tables: dict[str, DataFrame], parameters: dict[str, str], warnings: DataFrame | None = None, most: int = 100, files: DataFrame | None = None) -> DataFrame:
+    """One row: counts of the tables, parameters, the first warnings, and the digests of the files(path, sha256) read and
+    written; write.json makes it a file."""
     counts = None
     for name, df in sorted(tables.items()):
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
@@ -35,9 +36,19 @@ def manifest(spark: SparkSession, tables: dict[str, DataFrame], parameters: dict
     if warnings is not None:
         first = warnings.orderBy("warning").limit(most).agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
         row = row.withColumn("warnings", first.scalar())
+    if files is not None:
+        held = files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("sha256"))
+        row = row.withColumn("sha256", held.scalar())
     return row
 
 
+def write_layers(df: DataFrame, path: str, line: str, layers: dict[str, str], block: int = 256, mode: str = "errorifexists") -> None:
+    """A raster as Parquet by blocks of lines, each layer in the type that it is given (float, short, ...); other columns but
+    the line and `sample` are left out."""
+    typed = df.select(line, "sample", *(F.col(c).cast(kind).alias(c) for c, kind in layers.items()), F.floor(F.col(line) / block).cast("int").alias("block"))
+    typed.repartition("block").sortWithinPartitions("block", line, "sample").write.mode(mode).partitionBy("block").parquet(path)
+
+
 def digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 

@@ -35,7 +35,7 @@ def test_truth(spark, value, a, b, c):
     "name,want",
     [
         ("10084", ("known", "10084", "10084", False)), ("79221 bulk 125-250 um", ("known", "79221", "79221", True)), ("15531.22 <150 um", ("known", "15531", "15531,22", True)),
-        ("10,003,173", ("known", "10003", "10003,173", True)), ("Luna 24, 24160", ("outside", None, None, False)), ("14003,96", ("known", "14003", "14003,96", True)), ("glass", ("unparsed", None, None, False)), (None, ("unparsed", None, None, False)),
+        ("10,003,173", ("known", "10003", "10003,173", True)), ("Luna 24, 24160", ("outside", None, None, False)), ("14003,96", ("known", "14003", "14003,96", True)), ("14003,96 Respirable", ("known", "14003", "14003,96", True)), ("10 , 003 , A-1", ("known", "10003", "10003,A-1", True)), ("11500", ("unparsed", None, None, False)), ("13001", ("unparsed", None, None, False)), ("24160", ("unparsed", None, None, False)), ("Lunokhod 15041", ("outside", None, None, False)), ("glass", ("unparsed", None, None, False)), (None, ("unparsed", None, None, False)),
     ],
 )
 def test_sample_reference(spark, name, want):
@@ -45,7 +45,7 @@ def test_sample_reference(spark, name, want):
 def test_small_text_functions(spark):
     assert one(spark, "123.0", text.canonical_id) == "123" and one(spark, "15,041 and 15041 and 10072A", text.catalogue_ids) == ["15041", "10072A"]
     assert tuple(one(spark, "<0.5", text.qualified)) == ("<", 0.5) and tuple(one(spark, "7", text.qualified)) == (None, 7.0)
-    assert one(spark, "76535", text.mission_of) == "17"
+    assert one(spark, "76535", text.mission_of) == "Apollo 17" and one(spark, "11500", text.mission_of) is None
     assert one(spark, "A = wet chemistry; b: probe", text.legend_codes) == {"A": "wet chemistry", "b": "probe"}
     assert tuple(one(spark, "FeO 11.08", lambda c: text.matched_once(c, r"FeO ([0-9.]+)"))) == ("11.08", "found")
     assert one(spark, "in 1970 sample 10084 had index = 48 and 250", lambda c: text.numbers_near(c, "index")) == ["48"]
@@ -75,3 +75,16 @@ def test_numbers_near_every_hit(spark):
     words = "index " + "x" * 250 + " index " + "y" * 200
     got = spark.createDataFrame([(words + " 48 " + "z" * 200 + " 77",), ("nothing 48",), (None,)], "t string").select(text.numbers_near(F.col("t"), "index").alias("n")).collect()
     assert [r.n for r in got] == [["48"], [], None]
+
+
+@pytest.mark.parametrize("value", [0.0, 1.0, -1.5, 123456.0, 1234567.0, 1e-4, 1.25e-5, 1e16, 1e-300, 100.0, 0.1, 123.456, -0.00012345678, 1e100, 99999.96])
+@pytest.mark.parametrize("digits", [3, 6, 10, 17])
+def test_general_format(spark, value, digits):
+    if digits == 17 and value not in (0.0, 1.0, 100.0, -1.5):
+        return  # Java has no more digits than the shortest form
+    assert one(spark, value, lambda c: numeric.general_format(c, digits), "double") == f"{value:.{digits}g}"
+
+
+def test_location_decides_the_scope(spark):
+    got = spark.createDataFrame([("15041", "Luna 24"), ("15041", "Apollo 15"), ("15041", None)], "n string, w string").select(text.sample_reference(F.col("n"), F.col("w")).alias("s")).collect()
+    assert [r.s.scope for r in got] == ["outside", "known", "known"]

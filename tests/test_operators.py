@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from selenite.operators import aggregates, documents, joins, sequences, spectral
+from selenite.operators import aggregates, claims, documents, evidence, joins, lookups, sequences, spectral
 
 
 def rows(df):
@@ -110,3 +110,54 @@ def test_documents(spark):
     assert j[0].x.a == 1 and j[1].x is None
     pages = spark.createDataFrame([("d", 1, "text"), ("d", 2, "References"), ("d", 3, "more"), ("e", 1, "all")], "d string, p int, t string")
     assert rows(documents.pages_before(pages, ["d"], "p", "t", "^References")) == [("d", 1, "text"), ("e", 1, "all")]
+
+
+def test_metrics_of_groups_without_numbers(spark):
+    df = spark.createDataFrame([("k", "a", 1.0, 2.0), ("k", "a", 1.0, float("nan")), ("k", "b", 3.0, 3.0), ("k", "c", float("inf"), 1.0), ("k", "d", None, 1.0)], "k string, g string, y double, f double")
+    assert aggregates.group_mean_metrics(df, ["k"], "g", "y", "f").first().n == 2
+
+
+def test_duplicate_band_stops(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 1.0)], "k string, b int, v double")
+    assert rows(aggregates.complete_pivot(df, "k", "b", "v", [1, 2])) == [("a", 1.0, 2.0)]
+    with pytest.raises(Exception, match="duplicate band 1 of b"):
+        aggregates.complete_pivot(df.union(df), "k", "b", "v", [1, 2]).where("k = 'b'").collect() or aggregates.complete_pivot(df.union(df.where("k = 'b'")), "k", "b", "v", [1]).collect()
+
+
+def test_assertions_stop_with_reasons(spark):
+    df = spark.createDataFrame([(1, "x", 2.0), (1, "y", None), (2, "z", 5.0)], "k int, name string, v double")
+    assert rows(lookups.exactly_one(df.where("k = 2"), ["k"], "name")) == [(2, "z", 5.0)]
+    with pytest.raises(Exception, match="several match: x, y"):
+        lookups.exactly_one(df, ["k"], "name").collect()
+    with pytest.raises(Exception, match="no rows of 9"):
+        lookups.all_present(spark.createDataFrame([(9,)], "k int"), df, "k").collect()
+    with pytest.raises(Exception, match="flag and value differ: y"):
+        lookups.consistent(df, F.lit(True), F.col("v"), F.col("name")).collect()
+    with pytest.raises(Exception, match="v is not 4.0: 5.0"):
+        lookups.known_answer(df, F.col("k") == 2, "v", 4.0).collect()
+    pairs = spark.createDataFrame([(1, "x")], "a int, b string")
+    left, right = spark.createDataFrame([(1, 7)], "a int, l int"), spark.createDataFrame([("q", 8)], "b string, r int")
+    with pytest.raises(Exception, match="pair without its row: x"):
+        lookups.mapped_pairs(pairs, left, right, "a", "b").collect()
+    cached = spark.createDataFrame([("u", "1")], "u string, d string")
+    with pytest.raises(Exception, match="source has changed: u"):
+        lookups.cache_state(spark.createDataFrame([("u", "2")], "u string, d string"), cached, "u", "d").collect()
+    order = spark.createDataFrame([("<10",), ("9",), ("none",), ("~ 9.5",), (None,)], "c string").orderBy(lookups.value_order(F.col("c"))).collect()
+    assert [r.c for r in order] == ["9", "~ 9.5", "<10", None, "none"]
+
+
+def test_claims_of_manual_rows(spark):
+    cells = [("15041", "n", "x"), ("15041, 15042", "1.5", "x"), ("15041", "1.5", "no"), ("10072A", "1.5", "yes")]
+    df = spark.createDataFrame([(str(k), *c, "", "", "", "", "", "") for k, c in enumerate(cells)], "row string, sample_id string, value string, include string, source_kind string, scope string, source_id string, source_url string, reference string, note string")
+    made, lost = claims.manual_claims(df)
+    assert [(r.parent, r.value, r.source_kind, r.scope, r.source_id) for r in made.collect()] == [("10072A", 1.5, "manual_reviewed", "bulk_or_whole_sample", "manual:3")]
+    assert sorted(r.row for r in lost.collect()) == ["0", "1"]
+    assert [f.name for f in made.schema] == [f.name for f in claims.CLAIM]
+
+
+def test_headers_and_their_columns(spark):
+    words = [("reference", 90.0, 120.0), ("Haramura", 130.0, 160.0), ("in", 161.0, 165.0), ("Compston70", 166.0, 200.0), ("LSPET70,", 250.0, 280.0)]
+    df = spark.createDataFrame([(words,)], "w array<struct<text:string,x0:double,x1:double>>").select(evidence.header_tokens(F.col("w")).alias("h"))
+    assert [(h.text, h.x0, h.complex) for h in df.first().h] == [("Haramura in Compston70", 130.0, True), ("LSPET70", 250.0, False)]
+    at = lambda x: df.select(evidence.mapped_reference(F.col("h"), F.lit(x)).alias("r")).first().r
+    assert (at(249.0).text, at(131.0).text, at(10.0).text) == ("LSPET70", "Haramura in Compston70", "Haramura in Compston70")

@@ -23,7 +23,12 @@ def test_csv_and_sniffing(spark, tmp_path):
         readers.csv_table(spark, str(tmp_path / "a.csv"), ["other"])
     (tmp_path / "b.txt").write_text("Specimen Name;Sample-ID\n 76535 ;m1\n10084;\n")
     got = readers.sniffed_table(spark, str(tmp_path / "b.txt"), {"name": ["specimen_name"], "id": ["sampleid"]}, ["name"], "id").collect()
-    assert [(r.name, r.id) for r in got] == [("76535", "m1"), ("10084", "csv-row-000003")]
+    assert sorted((r.source_row, r.name, r.id) for r in got) == [(2, "76535", "m1"), (3, "10084", "csv-row-000003")]
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        (tmp_path / "many" / f"{k}.txt").write_text(f"name;id\n{k}a;\n{k}b;\n")
+    got = readers.sniffed_table(spark, str(tmp_path / "many"), {"name": [], "id": []}, ["name"], "id").collect()
+    assert sorted((r.name, r.source_row) for r in got) == [(f"{k}{x}", n) for k in range(3) for x, n in (("a", 2), ("b", 3))]
     schema = T._parse_datatype_string("a string")
     assert readers.optional_table(spark, str(tmp_path / "none.csv"), schema)[1] is False
 
@@ -83,10 +88,35 @@ def test_sinks(spark, tmp_path):
 def test_incremental(spark, tmp_path):
     log, out = str(tmp_path / "log"), str(tmp_path / "out")
     rows = lambda *x: spark.createDataFrame(list(x), "k int, t string")
-    for n, batch in enumerate([rows((1, "a"), (2, "b")), rows((1, "a"), (2, "c"), (3, "d"))]):
-        process_new(batch, log, lambda d: d.select("k", "t"), out, "k", "t", n)
-    assert sorted((r.k, r.t, r.batch) for r in spark.read.parquet(out).collect()) == [(1, "a", 0), (2, "b", 0), (2, "c", 1), (3, "d", 1)]
+    batches = [rows((1, "a"), (2, "b")), rows((1, "a"), (2, "c"), (3, "d"))]
+    want = [(1, "a", 0), (2, "b", 0), (2, "c", 1), (3, "d", 1)]
+    shown = lambda: sorted((r.k, r.t, r.run) for r in spark.read.parquet(out).collect())
+    for n in (0, 1, 1, 0):  # runs that come again change nothing
+        process_new(batches[n], log, lambda d: d.select("k", "t"), out, "k", "t", n)
+        assert [x for x in shown() if x in want] == shown()
+    assert shown() == want
+
+    def fails(d):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        process_new(rows((9, "x")), log, fails, out, "k", "t", 2)
+    process_new(rows((9, "x")), log, lambda d: d.select("k", "t"), out, "k", "t", 2)
+    assert shown() == [*want, (9, "x", 2)]
+    new = process_new(rows((2, "b"), (3, "d")), log, lambda d: d.select("k", "t"), out + "-new", "k", "t")
+    assert [tuple(r) for r in spark.read.parquet(f"{out}-new/run={new}").collect()] == [(2, "b")]  # a stale digest is pending again
     rows((7, "z")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k int, t string").parquet(str(tmp_path / "in"))
     follow(stream, str(tmp_path / "log2"), lambda d: d.select("k"), str(tmp_path / "out2"), "k", "t", str(tmp_path / "ck")).awaitTermination()
     assert [r.k for r in spark.read.parquet(str(tmp_path / "out2")).collect()] == [7]
+
+
+def test_manifest_digests_and_layers(spark, tmp_path):
+    df = spark.createDataFrame([(0, 0, 1.5, 3), (300, 1, 2.5, 4)], "line int, sample int, feo double, flags int")
+    sinks.write_layers(df, str(tmp_path / "r"), "line", {"feo": "float", "flags": "short"})
+    back = spark.read.parquet(str(tmp_path / "r"))
+    assert dict(back.dtypes) == {"line": "int", "sample": "int", "feo": "float", "flags": "smallint", "block": "int"}
+    assert sorted((r.line, r.block, r.feo) for r in back.collect()) == [(0, 0, 1.5), (300, 1, 2.5)]
+    files = readers.files(spark, str(tmp_path / "r"), "*.parquet").select("path", "sha256")
+    row = sinks.manifest(spark, {"r": df}, {}, files=files).first()
+    assert len(row.sha256) == 2 and all(len(x) == 64 for x in row.sha256.values())
