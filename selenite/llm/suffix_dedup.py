@@ -2,10 +2,13 @@
 
 A suffix array of every byte isn't needed to find strings of LENGTH bytes that occur twice: each such string is a window,
 and its smallest q-gram (the leftmost one) is at the same place in every occurrence. The suffixes at these places are
-sorted into initial buckets by their q-gram. A bucket is then refined by what stands at other offsets from it: first by
-an identifier of the whole context that its windows reach over, which settles all windows of the suffixes that agree;
-what is left of a bucket is refined once more, by the identifiers of the single windows. Refinement is on identifiers
-alone, and those of one pass are reused by the next: suffixes that are settled, or alone in their bucket, never come up again.
+sorted into initial buckets by their q-gram. A bucket is sorted again by an identifier of the whole context that its
+windows reach over, which settles all windows of the suffixes that agree. Of what is left, each bucket is refined on its
+bytes: every place gets the rank of its 8 bytes as its bucket pointer, places are sorted by their own pointer and that
+of the later offset where the known bytes end, and the ranks of that sort are the pointers of the next pass, until they
+stand for LENGTH bytes; equal pointers then are equal bytes. Suffixes that are settled, or alone in their bucket, never
+come up again. A q-gram with very many different contexts is no bucket: its windows are counted one by one, by 128 bits
+of hash, with partial counts before the shuffle.
 """
 
 from __future__ import annotations
@@ -16,17 +19,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, prefix_hash, span_hash, text_slices
 
-#: Bytes of a q-gram, entries after which a task writes out, text bytes of a bucket.
-GRAM, HELD, BUCKET_BYTES = 64, 600_000, 16 << 20
+#: Bytes of a q-gram, entries after which a task writes out, text bytes of a bucket, contexts beyond which a q-gram is hot.
+GRAM, HELD, BUCKET_BYTES, HOT = 64, 600_000, 16 << 20, 2000
 _FIELDS = ("g", "c", "key", "at", "n", "d", "dup")
 _KINDS = dict(zip(_FIELDS, (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int8), strict=True))
 _PACKED = "bucket int, kind int, " + ", ".join(f"{f} binary" for f in _FIELDS)
-_FOUND = "kind int, key long, at int, n int, d int"
+_FOUND = "kind int, key long, at int, n int, d int, g long"
 FORWARD, SHARED, MARK, SETTLED = range(4)
 
 
@@ -147,34 +151,76 @@ def _refine(table: pa.Table) -> pa.Table:
         class_of = np.cumsum(first) - 1
         any_shared = np.bincount(class_of, shared, int(class_of[-1]) + 1) > 0
         open_ |= first & any_shared[class_of]
-    out = [(0, e["key"][settled], e["at"][settled], e["n"][settled], e["d"][settled]), (1, e["key"][open_], e["at"][open_], e["n"][open_], e["d"][open_])]
+    out = [(k, *(e[f][pick] for f in ("key", "at", "n", "d")), e["g"][pick].view(np.int64)) for k, pick in ((0, settled), (1, open_))]
     done = [cat(SETTLED, f) for f in ("key", "at", "n")]
-    out.append((0, *done, np.zeros(len(done[0]), np.int32)))
+    out.append((0, *done, np.zeros(len(done[0]), np.int32), np.zeros(len(done[0]), np.int64)))
     kinds = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out])
-    return pa.table([kinds, *(np.concatenate([x[k] for x in out]) for k in range(1, 5))], ["kind", "key", "at", "n", "d"])
+    return pa.table([kinds, *(np.concatenate([x[k] for x in out]) for k in range(1, 6))], ["kind", "key", "at", "n", "d", "g"])
+
+
+def _bytes(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """The bytes around each suffix that is left, for its bucket."""
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "key", "at", "bytes"])
     for batch in batches:
         keys, lists = batch.column("key").to_pylist(), batch.column("open")
-        rows = []
+        rows, held = [], 0
         for i, key in enumerate(keys):
-            text = batch.column("text")[i].as_py()
-            data = (text or "").encode() if not isinstance(text, bytes) else text
+            data = _bytes(batch.column("text")[i].as_py())
             for s in lists[i].as_py():
-                gram = data[s["at"] + s["d"] : s["at"] + s["d"] + min(GRAM, length)]
-                rows.append((int.from_bytes(hashlib.blake2b(gram, digest_size=4).digest(), "little") % buckets, key, s["at"], data[s["at"] : s["at"] + s["n"] - 1 + length]))
-            if len(rows) > 20_000:
-                yield _context_batch(rows)
+                if not s["hot"]:
+                    rows.append((s["g"] % buckets, key, s["at"], data[s["at"] : s["at"] + s["n"] - 1 + length]))
+                    held += len(rows[-1][3])
+            if held > 4 << 20:
+                yield made(rows)
+                rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+
+def _hot_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(window, key, at): every window of the suffixes whose q-gram is hot, by 128 bits of hash."""
+    kinds = (pa.binary(), pa.int64(), pa.int32())
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["window", "key", "at"])
+    for batch in batches:
+        keys, lists = batch.column("key").to_pylist(), batch.column("open")
+        rows: list[tuple] = []
+        for i, key in enumerate(keys):
+            data = _bytes(batch.column("text")[i].as_py())
+            for s in lists[i].as_py():
+                if s["hot"]:
+                    rows += [(xxhash.xxh3_128_digest(data[at : at + length]), key, at) for at in range(s["at"], s["at"] + s["n"])]
+            if len(rows) > 100_000:
+                yield made(rows)
                 rows = []
         if rows:
-            yield _context_batch(rows)
+            yield made(rows)
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "key", "at", "bytes"])
+def pointers(raw: np.ndarray, length: int) -> np.ndarray:
+    """Bucket pointers of the places of raw for `length` bytes: equal ones are equal bytes, however often they occur.
+
+    Each pass sorts by the pointer of a place and the one of a later offset, both of the pass before.
+    """
+    known = min(8, length)
+    n = len(raw) - known + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    wide = np.ascontiguousarray(np.r_[raw, np.zeros(8, np.uint8)])
+    first = np.ndarray((n,), "<u8", wide, strides=(1,)).copy()
+    first = first if known == 8 else first & np.uint64((1 << 8 * known) - 1)
+    ids = np.unique(first, return_inverse=True)[1].astype(np.int64)
+    while known < length:
+        step = min(known, length - known)
+        if len(ids) <= step:
+            return np.zeros(0, np.int64)
+        ids = np.unique(ids[:-step] * (int(ids.max()) + 1) + ids[step:], return_inverse=True)[1].astype(np.int64)
+        known += step
+    return ids
 
 
 def _windows(table: pa.Table, length: int) -> pa.Table:
@@ -187,12 +233,8 @@ def _windows(table: pa.Table, length: int) -> pa.Table:
     n = np.diff(offs) - length + 1
     row = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = offs[row] + inside
-    ids = mix(span_hash(prefix_hash(raw), start, start + length))
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(_starts(ids[order]))
-    often = np.zeros(len(ids), bool)
-    often[order] = np.repeat(np.diff(np.r_[first, len(ids)]) > 1, np.diff(np.r_[first, len(ids)]))
+    ids = pointers(raw, length)[offs[row] + inside]
+    often = np.bincount(ids, minlength=1)[ids] > 1
     pick = np.flatnonzero(often)
     begin = np.flatnonzero(np.r_[True, (np.diff(pick) != 1) | (row[pick][1:] != row[pick][:-1])][: len(pick)])
     length_of = np.diff(np.r_[begin, len(pick)])
@@ -223,21 +265,35 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(key, at, n): runs of n windows of `length` bytes, from byte `at` of the rows with this key, that occur elsewhere."""
+def repeated_spans(docs: DataFrame, length: int = 200, hot_contexts: int = HOT) -> DataFrame:
+    """(key, at, n): runs of n windows of `length` bytes, from byte `at` of the rows with this key, that occur elsewhere.
+
+    A null or empty text has none; rows repeated whole repeat each other. Other columns are not read.
+    """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, -(-total // BUCKET_BYTES))
     packed = rows.mapInArrow(partial(_entries, length=length, buckets=buckets), _PACKED)
     found = materialize(packed.groupBy("bucket").applyInArrow(_refine, _FOUND), "refined")
-    open_ = found.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("at", "n", "d")).alias("open"))
-    open_ = materialize(open_, "open")
-    contexts = rows.join(open_, "key").mapInArrow(partial(_contexts, length=length, buckets=buckets), "bucket int, key long, at int, bytes binary")
+    left = found.where("kind = 1")
+    hot = left.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot_contexts).select("g", F.lit(True).alias("hot"))
+    hot = materialize(hot, "hot")
+    left = left.join(hot, "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    open_ = materialize(left.groupBy("key").agg(F.collect_list(F.struct("at", "n", "d", "g", "hot")).alias("open")), "open")
+    texts = rows.join(open_, "key")
+    contexts = texts.mapInArrow(partial(_contexts, length=length, buckets=4 * buckets), "bucket int, key long, at int, bytes binary")
     more = contexts.groupBy("bucket").applyInArrow(lambda table: _windows(table, length), "key long, at int, n int")
-    return found.where("kind = 0").select("key", "at", "n").unionByName(more)
+    settled = found.where("kind = 0").select("key", "at", "n").unionByName(more)
+    if hot.isEmpty():
+        return settled
+    some = texts.where(F.exists("open", lambda s: s["hot"])).mapInArrow(partial(_hot_windows, length=length), "window binary, key long, at int")
+    some = materialize(some, "windows")
+    often = some.groupBy("window").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("window")
+    often = some.join(often, "window").select("key", "at", F.lit(1).alias("n"))
+    return settled.unionByName(often)
 
 
-def repeated_removed(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_removed(docs: DataFrame, length: int = 200, hot_contexts: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) of every row of docs(doc_id, text).
 
     Every byte is removed that is covered by a string of `length` UTF-8 bytes which also starts anywhere else, in this or
@@ -245,7 +301,7 @@ def repeated_removed(docs: DataFrame, length: int = 200) -> DataFrame:
     is empty. Rows repeated whole repeat each other. Other columns are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = materialize(repeated_spans(docs, length).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    spans = materialize(repeated_spans(docs, length, hot_contexts).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").join(spans, "key", "left")
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
     return rows.select("doc_id", "text", "spans").mapInArrow(partial(_cut, length=length), schema)

@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from selenite.llm.suffix_dedup import repeated_removed
+from selenite.llm.suffix_dedup import pointers, repeated_removed
 
 
 def brute(rows, length):
@@ -38,8 +39,22 @@ def test_against_all_strings(spark, length):
         rows.append((20_000 + i, " ".join(edited)))
     rows += [(30_000, "a" * 450), (30_001, "ab" * 300), (30_002, passage + passage), (30_003, None), (30_004, ""), (None, "x" * 199), (30_005, passage), (30_005, passage), (None, "q" * 3000)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(5)
-    got = sorted((tuple(r)[:5] for r in repeated_removed(frame, length).collect()), key=str)
-    assert got == brute(rows, length)
+    want = brute(rows, length)
+    for hot in (2000, 3):
+        assert sorted((tuple(r)[:5] for r in repeated_removed(frame, length, hot).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("length", [3, 8, 11, 200])
+def test_pointers(length):
+    rng = random.Random(length)
+    raw = b"".join(rng.choice([b"abc", b"ab", b"a" * 40, b"xyz" * 80]) for _ in range(300))
+    ids = pointers(np.frombuffer(raw, np.uint8), length)
+    seen = {}
+    assert len(ids) == len(raw) - length + 1
+    for at, i in enumerate(ids.tolist()):
+        assert seen.setdefault(i, raw[at : at + length]) == raw[at : at + length]
+    assert len(seen) == len(set(seen.values()))
+    assert len(pointers(np.zeros(2, np.uint8), 3)) == 0
 
 
 def test_empty(spark):
