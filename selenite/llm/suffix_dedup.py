@@ -163,18 +163,18 @@ def _bytes(text: str | bytes | None) -> bytes:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The bytes around each suffix that is left, for its bucket."""
+    """The bytes around each suffix that is left, for its bucket; those of hot q-grams have none."""
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "key", "at", "bytes"])
     for batch in batches:
         keys, lists = batch.column("key").to_pylist(), batch.column("open")
         rows, held = [], 0
         for i, key in enumerate(keys):
-            data = _bytes(batch.column("text")[i].as_py())
+            text = batch.column("text")[i].as_py()
+            data = text if isinstance(text, bytes) else (text or "").encode()
             for s in lists[i].as_py():
-                if not s["hot"]:
-                    rows.append((s["g"] % buckets, key, s["at"], data[s["at"] : s["at"] + s["n"] - 1 + length]))
-                    held += len(rows[-1][3])
+                rows.append((None if s["hot"] else s["g"] % buckets, key, s["at"], data[s["at"] : s["at"] + s["n"] - 1 + length]))
+                held += len(rows[-1][3])
             if held > 4 << 20:
                 yield made(rows)
                 rows, held = [], 0
@@ -183,22 +183,15 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
 
 
 def _hot_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(window, key, at): every window of the suffixes whose q-gram is hot, by 128 bits of hash."""
+    """(window, key, at): every window of these contexts, by 128 bits of hash."""
     kinds = (pa.binary(), pa.int64(), pa.int32())
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["window", "key", "at"])
     for batch in batches:
-        keys, lists = batch.column("key").to_pylist(), batch.column("open")
-        rows: list[tuple] = []
-        for i, key in enumerate(keys):
-            data = _bytes(batch.column("text")[i].as_py())
-            for s in lists[i].as_py():
-                if s["hot"]:
-                    rows += [(xxhash.xxh3_128_digest(data[at : at + length]), key, at) for at in range(s["at"], s["at"] + s["n"])]
-            if len(rows) > 100_000:
-                yield made(rows)
-                rows = []
-        if rows:
-            yield made(rows)
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            rows = []
+            for key, at, data in zip(*(part.column(c).to_pylist() for c in ("key", "at", "bytes")), strict=True):
+                rows += [(xxhash.xxh3_128_digest(data[i : i + length]), key, at + i) for i in range(len(data) - length + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["window", "key", "at"])
 
 
 def pointers(raw: np.ndarray, length: int) -> np.ndarray:
@@ -280,16 +273,17 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot_contexts: int = HOT)
     hot = materialize(hot, "hot")
     left = left.join(hot, "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     open_ = materialize(left.groupBy("key").agg(F.collect_list(F.struct("at", "n", "d", "g", "hot")).alias("open")), "open")
-    texts = rows.join(open_, "key")
-    contexts = texts.mapInArrow(partial(_contexts, length=length, buckets=4 * buckets), "bucket int, key long, at int, bytes binary")
-    more = contexts.groupBy("bucket").applyInArrow(lambda table: _windows(table, length), "key long, at int, n int")
+    contexts = rows.join(open_, "key").mapInArrow(partial(_contexts, length=length, buckets=4 * buckets), "bucket int, key long, at int, bytes binary")
+    there = not hot.isEmpty()
+    if there:  # two steps read them
+        contexts = materialize(contexts, "contexts")
+    more = contexts.where("bucket is not null").groupBy("bucket").applyInArrow(lambda table: _windows(table, length), "key long, at int, n int")
     settled = found.where("kind = 0").select("key", "at", "n").unionByName(more)
-    if hot.isEmpty():
+    if not there:
         return settled
-    some = texts.where(F.exists("open", lambda s: s["hot"])).mapInArrow(partial(_hot_windows, length=length), "window binary, key long, at int")
-    some = materialize(some, "windows")
+    some = contexts.where("bucket is null").mapInArrow(partial(_hot_windows, length=length), "window binary, key long, at int")
     often = some.groupBy("window").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("window")
-    often = some.join(often, "window").select("key", "at", F.lit(1).alias("n"))
+    often = some.join(materialize(often, "often"), "window").select("key", "at", F.lit(1).alias("n"))
     return settled.unionByName(often)
 
 
