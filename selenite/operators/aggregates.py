@@ -4,12 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selenite.functions.numeric import FLAGS
 
 
+#: Cells into which the range of a group's values is cut to find quantiles.
+CELLS = 1024
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """keys and the linear quantiles of the finite values of each group, by the names given; groups without values have none.
+
+    No task holds a group: cells of the group's range are counted, and only the values in the cells where the wanted
+    ranks fall are sorted, equal ones as one with their number.
+    """
+    rows = df.where(F.abs(value) < float("inf")).select(*keys, F.col(value).cast("double").alias("__v"))
+    span = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    span = span.select(*(F.col(k).alias(f"__k_{k}") for k in keys), "__lo", "__hi", "__n")
+    same = lambda: [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    share = (F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+    celled = rows.join(span, same()).withColumn("__cell", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(CELLS - 1)))
+    values = celled.groupBy(*keys, "__cell", "__v", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    counts = celled.groupBy(*keys, "__cell", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__cell")) - F.col("__c")
+    rank = lambda p: F.lit(p) * (F.col("__n") - 1)
+    ranks = F.array_distinct(F.array(*(f(rank(p)) for p in probabilities.values() for f in (F.floor, F.ceil))))
+    cells = counts.withColumn("__before", before).withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c"))))
+    cells = cells.where(F.size("__ranks") > 0).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__cell").alias("__k_cell"), "__before", "__ranks")
+    inside = values.join(cells, [*same(), F.col("__cell") == F.col("__k_cell")])
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__cell").orderBy("__v")) + F.col("__before")
+    found = inside.withColumn("__upto", upto).select(*keys, "__n", "__v", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__upto") - F.col("__c")) & (r < F.col("__upto")))).alias("__rank"))
+    at = lambda f, p: F.max(F.when(F.col("__rank") == f(rank(p)), F.col("__v")))
+    ends = found.groupBy(*keys, "__n").agg(*(at(f, p).alias(f"{c}_{n}") for n, p in probabilities.items() for c, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda n, p: F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * (rank(p) - F.floor(rank(p)))
+    return ends.select(*keys, *(between(n, p).alias(n) for n, p in probabilities.items()))
+
+
+def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A left join of one row per key on keys that may be null."""
+    renamed = right.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left").drop(*(f"__k_{k}" for k in keys))
+
+
 def joined_set(c: Column, separator: str = ";") -> Column:
     """The distinct values of a group in order, joined."""
     return F.array_join(F.array_sort(F.collect_set(c.cast("string"))), separator)
@@ -64,10 +102,12 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str, predicted
     fine = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
     rows = df.where(fine(truth) & fine(predicted)).withColumn("__e", F.col(predicted) - F.col(truth))
     spread = F.var_pop(truth) * F.count(F.lit(1))
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs("__e")).alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.median(F.abs("__e")).alias("median_abs"), F.avg("__e").alias("bias"),
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs("__e")).alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.avg("__e").alias("bias"),
         F.when((F.count(F.lit(1)) > 1) & (spread > 0), 1 - F.sum(F.col("__e") * F.col("__e")) / spread).alias("r2"),
     )
+    middle = exact_quantiles(rows.select(*keys, F.abs("__e").alias("__a")), keys, "__a", {"median_abs": 0.5})
+    return _with(out, middle, keys).select(*keys, "n", "mae", "rmse", "median_abs", "bias", "r2")
 
 
 def group_mean_metrics(df: DataFrame, keys: Sequence[str], group: str, truth: str, predicted: str) -> DataFrame:
@@ -96,8 +136,10 @@ def unpivot_bands(df: DataFrame, key: str, bands: Sequence[int], prefix: str = "
 
 
 def column_domain(df: DataFrame, band: str, value: str) -> DataFrame:
-    """Range, 1% and 99% quantiles (exact, linear), mean and deviation of each band."""
-    return df.groupBy(band).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.percentile(value, F.lit(0.01)).alias("q01"), F.percentile(value, F.lit(0.99)).alias("q99"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    """Range, 1% and 99% quantiles (exact, linear), mean and deviation of the finite values of each band."""
+    fine = df.where(F.abs(value) < float("inf"))
+    out = fine.groupBy(band).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return _with(out, exact_quantiles(fine, [band], value, {"q01": 0.01, "q99": 0.99}), [band]).select(band, "least", "most", "q01", "q99", "mean", "sd")
 
 
 def flag_counts(df: DataFrame, mask: str) -> DataFrame:

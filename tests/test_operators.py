@@ -161,3 +161,15 @@ def test_headers_and_their_columns(spark):
     assert [(h.text, h.x0, h.complex) for h in df.first().h] == [("Haramura in Compston70", 130.0, True), ("LSPET70", 250.0, False)]
     at = lambda x: df.select(evidence.mapped_reference(F.col("h"), F.lit(x)).alias("r")).first().r
     assert (at(249.0).text, at(131.0).text, at(10.0).text) == ("LSPET70", "Haramura in Compston70", "Haramura in Compston70")
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=5001), "b": np.r_[np.zeros(4000), rng.exponential(size=7)], "c": np.array([5.0]), None: np.array([1.0, 2.0]), "d": np.r_[1e18, rng.normal(size=500)]}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("a", None), ("a", float("nan")), ("e", None)], "k string, v double").repartition(5)
+    p = {"low": 0.01, "mid": 0.5, "top": 1.0, "first": 0.0, "q": 0.777}
+    got = {r.k: r for r in aggregates.exact_quantiles(df, ["k"], "v", p).collect()}
+    assert got.keys() == data.keys()
+    for k, x in data.items():
+        for name, share in p.items():
+            assert got[k][name] == pytest.approx(np.quantile(x, share), rel=1e-12, abs=1e-12)
