@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 NANOMETRES = {"nm": 1.0, "nanometer": 1.0, "nanometers": 1.0, "um": 1000.0, "µm": 1000.0, "micron": 1000.0, "microns": 1000.0, "micrometer": 1000.0, "micrometers": 1000.0, "angstrom": 0.1, "angstroms": 0.1}
 ANGLE_STANDARD = {"x0": 0.08, "y0": 1.19, "scale": 17.427, "offset": -7.565}
 ANGLE_MEAN = {"x0": 0.08, "y0": 1.18, "scale": 12.92, "offset": -2.107, "power_scale": 10.59, "power": 1.209}
+ANGLE_CHANGED = {"x0": 0.03433418510481713, "y0": 1.2571662682003644, "scale": 6.274305964663926, "offset": 9.740661344354981}
 FLAGS = {"invalid": 1, "physical_range": 2, "outside_training": 4, "distance": 8, "negative": 16, "excessive": 32, "disagreement": 64}
 
 
@@ -71,6 +72,28 @@ def power_iron(angle: Column, formula: dict[str, float] = ANGLE_MEAN) -> Column:
     return F.when(angle >= 0, formula["power_scale"] * F.pow(angle, F.lit(formula["power"])))
 
 
+def iron_baselines(x: Column, far: Column, mean_x: Column, mean_far: Column) -> Column:
+    """struct of the eight published formulas: three origins, each angle principal and full, the mean one linear and as a power.
+
+    x and far are the reflectances at the near and the far band, the mean ones those averaged over their neighbours.
+    """
+    out = {}
+    for name, near, ratio, formula in (("standard", x, safe_ratio(far, x), ANGLE_STANDARD), ("changed", x, safe_ratio(far, x), ANGLE_CHANGED), ("mean", mean_x, safe_ratio(mean_far, mean_x), ANGLE_MEAN)):
+        angles = {"principal": principal_angle(near, ratio, formula["x0"], formula["y0"]), "full": full_angle(near, ratio, formula["x0"], formula["y0"])}
+        for kind, angle in angles.items():
+            out[f"{name}_{kind}"] = linear_iron(angle, formula)
+            if "power" in formula:
+                out[f"{name}_power_{kind}"] = power_iron(angle, formula)
+    return F.struct(*(c.alias(n) for n, c in out.items()))
+
+
+def interpolated(xs: Column, ys: Column, at: Column) -> Column:
+    """The linear value at a point of the knots (xs rising, ys), constant beyond the ends; null without knots."""
+    i = F.size(F.filter(xs, lambda x: x <= at))
+    x0, x1, y0, y1 = F.get(xs, i - 1), F.get(xs, i), F.get(ys, i - 1), F.get(ys, i)
+    return F.when(F.size(xs) == 0, F.lit(None)).when(i == 0, F.get(ys, F.lit(0))).when(i == F.size(xs), F.get(ys, i - 1)).otherwise(y0 + (at - x0) / (x1 - x0) * (y1 - y0))
+
+
 def flag_mask(**conditions: Column) -> Column:
     """The sum of the bits of the flags whose conditions hold; null conditions don't."""
     mask = F.lit(0)

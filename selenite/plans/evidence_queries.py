@@ -380,3 +380,33 @@ def catalogue_id_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat((F.col("s_suppkey") % 90000 + 10000).cast("string"), F.lit(" and 15,041; not 123456 or a15041, but 15041 (10072A)"))
     found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), text.catalogue_ids(line).alias("ids"))
     return found.select("doc_id", "ids", F.size("ids").alias("n_digits"))
+
+
+_ANGLES = """
+WITH a AS (SELECT l_orderkey, l_linenumber, l_discount + 0.1 AS x, (l_tax + 0.5) / (l_discount + 0.1) AS y, l_discount + 0.2 AS mx, (l_tax + 0.3) / (l_discount + 0.2) AS my FROM lineitem),
+h AS (SELECT *, -atan2(y - 1.19, x - 0.08) AS s2, -atan2(y - 1.2571662682003644, x - 0.03433418510481713) AS c2, -atan2(my - 1.18, mx - 0.08) AS m2,
+  CASE WHEN abs(x - 0.08) < 1e-15 THEN (CASE WHEN -(y - 1.19) < 0 THEN -pi() / 2 ELSE pi() / 2 END) ELSE -atan((y - 1.19) / (x - 0.08)) END AS s1, -atan((y - 1.2571662682003644) / (x - 0.03433418510481713)) AS c1, -atan((my - 1.18) / (mx - 0.08)) AS m1 FROM a),
+f AS (SELECT * REPLACE (CASE WHEN s2 < 0 THEN s2 + 2 * pi() ELSE s2 END AS s2, CASE WHEN c2 < 0 THEN c2 + 2 * pi() ELSE c2 END AS c2, CASE WHEN m2 < 0 THEN m2 + 2 * pi() ELSE m2 END AS m2) FROM h)"""
+
+
+@query(_ANGLES + """
+SELECT l_orderkey, l_linenumber, round(17.427 * s1 - 7.565, 5) AS standard_principal, round(17.427 * s2 - 7.565, 5) AS standard_full, round(6.274305964663926 * c1 + 9.740661344354981, 5) AS changed_principal, round(6.274305964663926 * c2 + 9.740661344354981, 5) AS changed_full,
+  round(12.92 * m1 - 2.107, 5) AS mean_principal, round(CASE WHEN m1 >= 0 THEN 10.59 * pow(m1, 1.209) END, 5) AS mean_power_principal, round(12.92 * m2 - 2.107, 5) AS mean_full, round(10.59 * pow(m2, 1.209), 5) AS mean_power_full FROM f""")
+def eight_iron_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All published formulas: three origins, principal and full angles, and the power form."""
+    d, t = F.col("l_discount"), F.col("l_tax")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numeric.iron_baselines(d + 0.1, t + 0.5, d + 0.2, t + 0.3).alias("b"))
+    names = ("standard_principal", "standard_full", "changed_principal", "changed_full", "mean_principal", "mean_power_principal", "mean_full", "mean_power_full")
+    return rows.select("l_orderkey", "l_linenumber", *(_r(F.col(f"b.{n}"), 5).alias(n) for n in names))
+
+
+@query("""
+WITH k AS (SELECT event_type, hour(ts)::DOUBLE AS x, avg(value) AS y FROM events GROUP BY ALL), n AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM k WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+e AS (SELECT event_type, min(x) AS lo, max(x) AS hi, arg_min(y, x) AS ylo, arg_max(y, x) AS yhi FROM k GROUP BY 1), p AS (SELECT *, unnest([-1.0::DOUBLE, 0.5::DOUBLE, 3.25::DOUBLE, 30.0::DOUBLE]) AS pos FROM e)
+SELECT p.event_type, pos AS "at", round(CASE WHEN pos <= lo THEN ylo WHEN pos >= hi THEN yhi ELSE y + (pos - x) / (x1 - x) * (y1 - y) END, 6) AS value FROM p LEFT JOIN n ON n.event_type = p.event_type AND x <= pos AND pos < x1""")
+def curves_with_constant_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves by hour at points between their knots and beyond their ends."""
+    means = table(spark, sf_dir, "events").groupBy("event_type", F.hour("ts").cast("double").alias("x")).agg(F.avg("value").alias("y"))
+    knots = means.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))
+    at = knots.withColumn("at", F.explode(F.array(*(F.lit(v) for v in (-1.0, 0.5, 3.25, 30.0)))))
+    return at.select("event_type", "at", _r(numeric.interpolated(F.transform("k", lambda k: k["x"]), F.transform("k", lambda k: k["y"]), F.col("at"))).alias("value"))
