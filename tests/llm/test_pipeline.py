@@ -45,3 +45,21 @@ def test_stages_do_their_work(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and an empty table: stages keep clean documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1}
+    good = next(r for r in docs.orderBy("doc_id").collect() if r.doc_id in labels and r.text and 200 < len(r.text) < 3000)
+    rows = [(900_001, good.text + " one more", None, None, None), (None, good.text + " and then two", "en", "s", 1), (900_002, None, "en", "s", 0), (900_003, "", "en", None, 0), (900_004, "word " * 60_000, "en", "s", 1), (900_005, None, None, None, None)] + [(900_006, good.text.upper()[:150], "en", "s", 5)] * 3
+    odd = spark.createDataFrame(rows, docs.schema)
+    for start in (odd, odd.limit(0), docs.limit(30).unionByName(odd)):
+        at = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = materialize(stage(spark, at, SF), "t")
+            assert at.columns == docs.columns, name
+        out = corpus_pipeline.STAGES[-1][1](spark, at, SF)
+        assert out.count() == at.count()
+    kept = corpus_pipeline.STAGES[1][1](spark, odd, SF).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["900001", "900002", "900003", "900004", "900005", "900006"]
