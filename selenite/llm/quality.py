@@ -161,13 +161,13 @@ def _fitted(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     return NonNegativePU(ridge=chosen_ridge(trusted, web, prior)).fit(trusted, web, prior), prior, table
 
 
-def chosen_ridge(trusted: np.ndarray, web: np.ndarray, prior: float, ridges: tuple[float, ...] = (0.3, 1.0, 3.0, 10.0), folds: int = 3, most: int = 6000) -> float:
-    """The ridge of least non-negative risk (of wrong signs) in cross-validation over the first rows of both samples.
+def chosen_ridge(trusted: np.ndarray, web: np.ndarray, prior: float, ridges: tuple[float, ...] = (0.3, 1.0, 3.0, 5.0, 10.0), folds: int = 10, most: int = 2000) -> float:
+    """The ridge of least non-negative risk (of wrong signs) in cross-validation; of equal ones the largest.
 
-    Samples are in the order of their hashes, so their first rows are samples too. Of equal risks the larger ridge wins.
+    Validation is over the first rows of both samples, which are in the order of their hashes, so that these are samples too.
     """
     p, u = trusted[:most], web[:most]
-    if min(len(p), len(u)) < 10 * folds:
+    if min(len(p), len(u)) < 2 * folds:
         return max(ridges)
     risks = []
     for ridge in ridges:
