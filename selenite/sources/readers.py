@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,7 +224,7 @@ class _Table(HTMLParser):
         if tag == "table":
             self.depth -= 1
         elif self.depth == 1 and tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append((" ".join("".join(self.cell).split()), self.href))
+            self.rows[-1].append((" ".join(" ".join(self.cell).split()), self.href))
             self.cell = None
 
     def handle_data(self, data):
@@ -234,7 +234,7 @@ class _Table(HTMLParser):
 
 def html_rows(page: str, base: str, header: Sequence[str], id_pattern: str) -> list[dict]:
     """Rows of the outermost tables below a header found in the first ten rows; rows whose id doesn't match, and later ones of an id, are left out."""
-    if re.search(r"(?i)captcha|access denied|are you a robot", page[:4000]):
+    if re.search(r"(?i)captcha|access denied|are you a robot", page):
         raise ValueError("the page is a bot check")
     parser = _Table()
     parser.feed(page)
@@ -264,12 +264,20 @@ def ocr_pages(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows of a JSONL file, and its broken lines; strict stops at one."""
-    raw = spark.read.text(path).where("trim(value) <> ''")
-    parsed = raw.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    """Rows of JSONL files, and their broken lines as (value, file, line), counted from 1; strict stops at one.
+
+    Lines are numbered without a shuffle of rows: the place within its block of the file, beside the lines of the
+    blocks before it.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    parsed = raw.select("*", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x")).where("trim(value) <> ''")
     if strict:
         parsed = parsed.withColumn("x", F.when(F.col("x._bad").isNotNull(), F.raise_error(F.concat(F.lit("broken line: "), F.substring("value", 1, 80))).cast(parsed.schema["x"].dataType)).otherwise(F.col("x")))
-    return parsed.where("x._bad IS NULL").select("x.*").drop("_bad"), parsed.where("x._bad IS NOT NULL").select("value")
+    blocks = raw.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__block")) - F.col("__n")
+    broken = parsed.where("x._bad IS NOT NULL").join(blocks.select("__file", "__block", "__first", before.alias("__before")), ["__file", "__block"])
+    broken = broken.select("value", F.col("__file").alias("file"), (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line"))
+    return parsed.where("x._bad IS NULL").select("x.*").drop("_bad"), broken
 
 
 def nested_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
