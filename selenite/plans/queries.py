@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -457,23 +458,69 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("-", "user_id", "event_type").alias("key"), "user_id", "y", F.array(*FEATURES).alias("x"))
 
 
-@query()
+@query("""
+WITH RECURSIVE g AS (SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS k FROM events GROUP BY user_id),
+f(k, load, fold) AS (SELECT CAST(0 AS BIGINT), [0::BIGINT, 0, 0, 0, 0], CAST(NULL AS BIGINT)
+  UNION ALL SELECT g.k, [CASE WHEN i = list_position(load, list_min(load)) THEN load[i] + n ELSE load[i] END FOR i IN [1, 2, 3, 4, 5]], list_position(load, list_min(load)) - 1 FROM f JOIN g ON g.k = f.k + 1)
+SELECT user_id, CAST(fold AS INT) AS fold FROM f JOIN g USING (k)""")
 def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds of whole users, by falling number of events to the lightest fold."""
     return learning.group_folds(table(spark, sf_dir, "events"), "user_id", 5)
 
 
+def _grid(**choices: list) -> list[dict]:
+    return [dict(zip(choices, values, strict=True)) for values in itertools.product(*choices.values())]
+
+
+#: The settings among which the inner folds choose, of every kind of model.
+GRID = {
+    "ridge": _grid(alpha=[0.1, 1.0, 10.0]),
+    "elastic_net": _grid(alpha=[0.01, 0.1, 1.0], l1_ratio=[0.1, 0.5, 0.9]),
+    "component_ridge": _grid(components=[5], alpha=[0.1, 1.0, 10.0]),
+    "pls": _grid(components=[2, 4, 8]),
+    "svr": _grid(c=[1.0, 10.0], epsilon=[0.1, 0.5], gamma=[None, 0.01]),
+    "trees": _grid(n=[400], share=[0.5, 1.0], leaf=[1, 3]),
+    "forest": _grid(n=[400], share=[0.5, 1.0], leaf=[1, 3]),
+    "boosting": _grid(n=[100, 300], rate=[0.03, 0.1], depth=[1, 2], leaf=[3]),
+    "gp": _grid(components=[5], alpha=[1e-4, 1e-2]),
+}
+
+
 @query()
 def nested_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of each kind of model on held-out groups, parameters tuned inside."""
-    grid = {"ridge": [{"alpha": a} for a in (0.1, 1.0, 10.0)], "elastic_net": [{"alpha": a} for a in (0.01, 0.1)], "component_ridge": [{"components": k} for k in (3, 6)], "pls": [{"components": k} for k in (2, 4)], "svr": [{"c": 1.0, "rounds": 30}], "gp": [{"components": 6}], "trees": [{"n": 10}], "boosting": [{"n": 15}]}
-    out = learning.nested_cv(_training(spark, sf_dir), "x", "y", "user_id", "key", grid, outer=4, inner=2)
+    out = learning.nested_cv(_training(spark, sf_dir), "x", "y", "user_id", "key", GRID)
     return aggregates.group_mean_metrics(out, ["model"], "user_id", "y", "predicted")
 
 
+_BASELINE = """
+WITH RECURSIVE r AS (SELECT user_id, concat(user_id, '-', event_type) AS key, avg(value) AS y FROM events GROUP BY user_id, event_type),
+g AS (SELECT user_id, count(*) AS n, avg(y) AS m, row_number() OVER (ORDER BY count(*) DESC, user_id) AS k FROM r GROUP BY user_id),
+f(k, load, fold) AS (SELECT CAST(0 AS BIGINT), [0::BIGINT, 0, 0, 0, 0], CAST(NULL AS BIGINT)
+  UNION ALL SELECT g.k, [CASE WHEN i = list_position(load, list_min(load)) THEN load[i] + n ELSE load[i] END FOR i IN [1, 2, 3, 4, 5]], list_position(load, list_min(load)) - 1 FROM f JOIN g ON g.k = f.k + 1),
+h AS (SELECT user_id, fold, m FROM f JOIN g USING (k)), p AS (SELECT a.fold, avg(b.m) AS predicted FROM (SELECT DISTINCT fold FROM h) a JOIN h b ON b.fold <> a.fold GROUP BY 1)
+"""
+
+
+@query(_BASELINE + "SELECT key, user_id, CAST(fold AS INT) AS fold, round(y, 6) AS y, round(predicted, 6) AS predicted, round(predicted - y, 6) AS residual FROM r JOIN h USING (user_id) JOIN p USING (fold)")
+def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each held-out row beside the mean of the other folds' group means, with its residual."""
+    out = learning.nested_cv(_training(spark, sf_dir), "x", "y", "user_id", "key", {})
+    wide = learning.wide_predictions(out, ["group_mean"], "key", "user_id")
+    return wide.select("key", "user_id", "fold", _r(F.col("y")).alias("y"), _r(F.col("predicted_group_mean")).alias("predicted"), _r(F.col("residual_group_mean")).alias("residual"))
+
+
+@query(_BASELINE + "SELECT 'group_mean' AS model, user_id, round(avg(y), 6) AS y, round(avg(predicted), 6) AS predicted, count(*) AS n FROM r JOIN h USING (user_id) JOIN p USING (fold) GROUP BY user_id")
+def baseline_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of each held-out group: true and by the baseline."""
+    out = learning.nested_cv(_training(spark, sf_dir), "x", "y", "user_id", "key", {})
+    means = learning.group_predictions(out, "user_id")
+    return means.select("model", "user_id", _r(F.col("y")).alias("y"), _r(F.col("predicted")).alias("predicted"), "n")
+
+
 @query()
 def held_out_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.permutation_importance(_training(spark, sf_dir), "x", "y", "user_id", "key", "ridge", {"alpha": 1.0}, folds=3, repeats=2)
+    return learning.permutation_importance(_training(spark, sf_dir), "x", "y", "user_id", "key", "ridge", {"alpha": 1.0})
 
 
 @query()
@@ -498,8 +545,15 @@ def spline_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.resample_segments(rows, "user_id", "value", "y", [float(k) for k in range(0, 400, 10)], "spline", gap=100)
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS k FROM conversations),
+t(conv_id, k, used, n, digest) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM b
+  UNION ALL SELECT b.conv_id, b.k, CASE WHEN fits THEN used + size ELSE used END, CASE WHEN fits THEN n + 1 ELSE n END, CASE WHEN fits THEN md5(digest || piece) ELSE digest END
+  FROM (SELECT b.conv_id, b.k, used, n, digest, CASE WHEN n = 0 THEN left(text, 400) ELSE text END AS piece, length(piece) AS size, used + size <= 400 AS fits FROM t JOIN b ON b.conv_id = t.conv_id AND b.k = t.k + 1) b)
+SELECT conv_id, CAST(n AS INT) AS n_taken, used AS n_chars, digest FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1""")
 def greedy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation by length within a budget of characters."""
+    """Turns of a conversation by length within a budget of characters: how many, their size, a digest of them in order."""
     blocks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.length("text").alias("score"), F.col("turn").alias("pos"), "text")).alias("b"))
-    return blocks.select("conv_id", F.size(sequences.greedy_budget(F.col("b"), 400)).alias("n_taken"))
+    taken = blocks.select("conv_id", sequences.greedy_budget(F.col("b"), 400).alias("t"))
+    size = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+    return taken.select("conv_id", F.size("t").alias("n_taken"), size.alias("n_chars"), F.aggregate("t", F.lit(""), lambda acc, x: F.md5(F.encode(F.concat(acc, x), "UTF-8"))).alias("digest"))
