@@ -15,6 +15,9 @@ EARLY = {"10": "Apollo 11", "12": "Apollo 12", "14": "Apollo 14", "15": "Apollo
 LATE = {"6": "Apollo 16", "7": "Apollo 17"}
 PARENT = r"(?<![0-9])(10[0-9]{3}|12[0-9]{3}|14[0-9]{3}|15[0-9]{3}|6[0-9]{4}|7[0-9]{4})(?![0-9])"
 GROUPED = r"(?<![0-9])(1[0245]|[67][0-9])\s*,\s*([0-9]{3})(?:\s*,\s*([A-Za-z0-9_-]+))?(?![0-9])"
+# The heading of a legend of methods, and an entry of it.
+LEGEND_HEAD = r"(?i)^.*?\b(?:technique|method)\s*:\s*"
+LEGEND = r"\(\s*[A-Za-z]\s*\)\s*.*?(?=,\s*\(\s*[A-Za-z]\s*\)|$)"
 OUTSIDE = r"(?i)\b(luna|lunokhod)\b"
 
 
@@ -160,9 +163,11 @@ def distinct_folded(items: Column) -> Column:
 
 
 def legend_codes(c: Column) -> Column:
-    """map(code -> method) of a legend line such as `A = wet chemistry; B = probe`."""
-    found = F.regexp_extract_all(c, F.lit(r"\(?([A-Za-z])\)?\s*[=:]\s*([^;,]+)"), F.lit(0))
-    return F.map_from_entries(F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"([A-Za-z])\)?\s*[=:]", 1), clean(F.regexp_extract(x, r"[=:]\s*(.*)$", 1)))))
+    """map(code -> method) of a legend such as `technique: (a) wet chemistry, (b) probe`: what stands before the heading is
+    left out, codes are in lower case, and of a code that comes again the last method counts."""
+    bare = F.regexp_replace(c, LEGEND_HEAD, "")
+    pairs = F.transform(F.regexp_extract_all(bare, F.lit(LEGEND), F.lit(0)), lambda x: F.struct(F.lower(F.regexp_extract(x, r"^\(\s*(.)", 1)).alias("code"), F.regexp_replace(F.regexp_replace(x, r"^\([^)]*\)", ""), r"^[\s,.;]+|[\s,.;]+$", "").alias("method")))
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["code"] == x["code"])))
 
 
 def matched_once(c: Column, pattern: str, group: int = 1) -> Column:

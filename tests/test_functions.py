@@ -46,7 +46,8 @@ def test_small_text_functions(spark):
     assert one(spark, "123.0", text.canonical_id) == "123" and one(spark, "15,041 and 15041 and 10072A", text.catalogue_ids) == ["15041", "10072A"]
     assert tuple(one(spark, "<0.5", text.qualified)) == ("<", 0.5) and tuple(one(spark, "7", text.qualified)) == (None, 7.0)
     assert one(spark, "76535", text.mission_of) == "Apollo 17" and one(spark, "11500", text.mission_of) is None
-    assert one(spark, "A = wet chemistry; b: probe", text.legend_codes) == {"A": "wet chemistry", "b": "probe"}
+    assert one(spark, "technique: (c) XRF, (d) semi micro XRF, (e) INAA", text.legend_codes) == {"c": "XRF", "d": "semi micro XRF", "e": "INAA"}
+    assert one(spark, "see Notes. Method: ( A ) wet, in two steps; , (b) probe (a) 2., (a) titration", text.legend_codes) == {"a": "titration", "b": "probe (a) 2"}
     assert tuple(one(spark, "FeO 11.08", lambda c: text.matched_once(c, r"FeO ([0-9.]+)"))) == ("11.08", "found")
     assert one(spark, "in 1970 sample 10084 had index = 48 and 250", lambda c: text.numbers_near(c, "index")) == ["48"]
     assert one(spark, ["a", "A", "b", " "], text.distinct_folded, "array<string>") == ["a", "b"]

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from selenite.plans import evidence_queries, file_queries, more_queries  # noqa: F401
+from selenite.plans import evidence_queries, file_queries, more_queries, text_queries  # noqa: F401
 from selenite.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
