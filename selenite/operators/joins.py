@@ -55,18 +55,35 @@ def priority_union(parts: Sequence[DataFrame], keys: Sequence[str], rule: str =
     return whole.groupBy(*keys).agg(F.min(F.struct(rule, *(c for c in others if c != rule))).alias("__least")).select(*keys, "__least.*")
 
 
-def asof_preceding(probe: DataFrame, build: DataFrame, keys: Sequence[str], at: str, take: Sequence[str]) -> DataFrame:
+def asof_preceding(probe: DataFrame, build: DataFrame, keys: Sequence[str], at: str, take: Sequence[str], width: float | None = None) -> DataFrame:
     """probe with columns of the last build row of its keys at or before it; null if there is none.
 
-    One pass over the union of both, ordered within the keys: no row meets another.
+    One pass over the union of both, ordered within the keys: no row meets another. With `width` (of times: in days), a
+    pass is over a cell of that width alone, so no task holds all rows of a key: what a cell begins with is the last
+    build row of the cells before it, of which there is a row a cell. A probe row without a position gets null, a build
+    row without one is at or before nothing.
     """
     names = [c for c in probe.columns if c not in keys and c != at]
     left = probe.select(*keys, at, F.lit(1).alias("__side"), F.struct(*names).alias("__row"), F.lit(None).alias("__got"))
     got = F.struct(*take)
-    right = build.select(*keys, at, F.lit(0).alias("__side"), F.lit(None).alias("__row"), got.alias("__got"))
-    w = Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("__last", F.last("__got", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*keys, at, "__row.*", *(F.col(f"__last.{c}").alias(c) for c in take))
+    right = build.where(F.col(at).isNotNull()).select(*keys, at, F.lit(0).alias("__side"), F.lit(None).alias("__row"), got.alias("__got"))
+    both, within = left.unionByName(right), list(keys)
+    if width is not None:
+        both, within = both.withColumn("__cell", _cell(both, at, width)), [*keys, "__cell"]
+    w = Window.partitionBy(*within).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__last", F.last("__got", ignorenulls=True).over(w)).where("__side = 1")
+    if width is not None:
+        cells = both.groupBy(*within).agg(F.max_by("__got", F.when(F.col("__side") == 0, F.col(at))).alias("__end"))
+        earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        begins = cells.select(*(F.col(k).alias(f"__k_{k}") for k in within), F.last("__end", ignorenulls=True).over(earlier).alias("__begin"))
+        found = found.join(begins, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in within]).withColumn("__last", F.coalesce("__last", "__begin"))
+    return found.select(*keys, at, "__row.*", *(F.col(f"__last.{c}").alias(c) for c in take))
+
+
+def _cell(df: DataFrame, at: str, width: float) -> Column:
+    """The cell of a position: its multiple of the width, for times that of their day."""
+    timed = df.schema[at].dataType.typeName().startswith(("timestamp", "date"))
+    return F.floor((F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")) if timed else F.col(at)) / width)
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, tolerance: float) -> DataFrame:

@@ -59,7 +59,7 @@ s AS (SELECT *, sum(CASE WHEN value <= p THEN 1 ELSE 0 END) OVER (PARTITION BY u
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.split_segments(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+    return sequences.split_segments(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", width=1_000_000)
 
 
 @query(_SEGMENTS + """, k AS (SELECT user_id, segment, count(DISTINCT value) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM s GROUP BY ALL)
@@ -176,7 +176,7 @@ def asof_preceding_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     probe = ev.where("event_type = 'purchase'").drop("event_type")
     build = ev.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup_id"))
-    return joins.asof_preceding(probe, build, ["user_id"], "ts", ["signup_id"]).drop("ts")
+    return joins.asof_preceding(probe, build, ["user_id"], "ts", ["signup_id"], width=1).drop("ts")
 
 
 @query("""

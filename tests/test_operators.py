@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,3 +175,22 @@ def test_exact_quantiles(spark):
     for k, x in data.items():
         for name, share in p.items():
             assert got[k][name] == pytest.approx(np.quantile(x, share), rel=1e-12, abs=1e-12)
+
+
+def test_cells_change_nothing(spark):
+    """As-of joins and segments by cells give what one pass over a key gives, with nulls, ties and hot keys."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i if i % 50 else None, rng.choice([None, *map(float, range(6))])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, at int, v double").where("at IS NOT NULL")
+    want = sorted(map(str, sequences.split_segments(df, ["k"], "at", "v").collect()))
+    for width in (1, 7, 1000):
+        assert sorted(map(str, sequences.split_segments(df, ["k"], "at", "v", width=width).collect())) == want
+    probe = df.select("k", F.when(F.col("at") % 40 > 0, (F.col("at") / 3).cast("int")).alias("at"), F.col("at").alias("id"))
+    build = df.where("at % 11 = 3").select("k", (F.col("at") / 3).cast("int").alias("at"), F.col("v").alias("got"))
+    build = build.unionByName(spark.createDataFrame([(1, None, 99.0)], build.schema))
+    want = sorted(map(str, joins.asof_preceding(probe, build, ["k"], "at", ["got"]).collect()))
+    for width in (1, 5, 1000):
+        assert sorted(map(str, joins.asof_preceding(probe, build, ["k"], "at", ["got"], width).collect())) == want
+    times = lambda d: d.withColumn("at", F.timestamp_seconds(F.col("at") * 3600))
+    hours = joins.asof_preceding(times(probe), times(build), ["k"], "at", ["got"], width=1)
+    assert sorted(map(str, hours.withColumn("at", (F.unix_timestamp("at") / 3600).cast("int")).collect())) == want
