@@ -94,3 +94,17 @@ def anchors(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     href = F.col("href")
     absolute = F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(F.col(url), "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, href))
     return found.select(key, "pos", "href", absolute.alias("absolute"))
+
+
+def document_links(pages: DataFrame, key: str, url: str, html: str, ending: str = ".pdf") -> DataFrame:
+    """(key, pos, text, absolute, kind) of the anchors whose address has a path with the ending; the kind is told by words
+    of the text and the address."""
+    each = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>(.*?)(?:</a\s*>|$)"""), F.lit(1))
+    texts = pages.select(F.col(key).alias("__key"), F.posexplode(each).alias("__pos", "text"))
+    found = anchors(pages, key, url, html)
+    path = F.regexp_replace(F.regexp_replace("absolute", "[?#].*$", ""), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
+    found = found.where(F.lower(path).endswith(ending)).join(texts, (F.col(key) == F.col("__key")) & (F.col("pos") == F.col("__pos")))
+    text = clean(F.regexp_replace("text", "<[^>]*>", " "))
+    told = F.lower(F.concat_ws(" ", text, "absolute"))
+    kind = F.when(F.contains(told, F.lit("compendium")), "compendium").when(told.rlike("catalog"), "catalog").otherwise("other")
+    return found.select(key, "pos", text.alias("text"), "absolute", kind.alias("kind"))

@@ -55,6 +55,33 @@ def priority_union(parts: Sequence[DataFrame], keys: Sequence[str], rule: str =
     return whole.groupBy(*keys).agg(F.min(F.struct(rule, *(c for c in others if c != rule))).alias("__least")).select(*keys, "__least.*")
 
 
+def associated(left: DataFrame, right: DataFrame, key: str, references: str, own: str, record: Sequence[str], identifier: str, other: str, rule: str = "rule") -> DataFrame:
+    """(key, record, rule): the records of right that a row of left refers to by identifier (`reference`), then those whose
+    `other` equals its `own` but for case and outer blanks (`same`); each once, by the earlier rule. A row of left without any
+    has one row of the rule `none`; blank ids match nothing."""
+    folded = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    records = right.select(*record, F.nullif(F.trim(identifier), F.lit("")).alias("__id"), folded(other).alias("__other"))
+    named = left.select(key, F.explode(F.array_distinct(F.transform(references, lambda x: F.trim(x)))).alias("__id"))
+    first = named.join(records, "__id").select(key, *record)
+    second = left.select(key, folded(own).alias("__other")).join(records, "__other").select(key, *record)
+    found = priority_union([first, second], [key, *record], rule)
+    out = left.select(key).distinct().join(found, key, "left")
+    return out.select(key, *record, F.when(F.col(rule) == 1, "reference").when(F.col(rule) == 2, "same").otherwise("none").alias(rule))
+
+
+def overwritten(rows: DataFrame, over: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The union of two tables of unique keys; where both have a key, the row of `over`."""
+    return priority_union([over, rows], keys, "__rule").drop("__rule")
+
+
+def parent_pairs(left: DataFrame, right: DataFrame, key: str, fits: Column) -> DataFrame:
+    """All pairs of rows of left with rows of right that fit and have the same parent; rows without a parent have none.
+
+    The rows of right are filtered before the join; the pairs of a parent are the result, so their number is not bounded.
+    """
+    return left.where(F.trim(F.col(key).cast("string")) != "").join(right.where(fits), key)
+
+
 def asof_preceding(probe: DataFrame, build: DataFrame, keys: Sequence[str], at: str, take: Sequence[str], width: float | None = None) -> DataFrame:
     """probe with columns of the last build row of its keys at or before it; null if there is none.
 

@@ -233,3 +233,16 @@ def header_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue whose columns are required, its name from the first column there is of several."""
     rows = text.require_columns(table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"], "catalogue")
     return rows.select("c_custkey", F.col(text.first_column(rows, ["sample_name", "c_name", "c_mktsegment"])).alias("name"))
+
+
+@query("""
+WITH m AS (SELECT s_suppkey % 40 AS id, s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 NOT IN (1, 2))
+SELECT CAST(id AS VARCHAR) AS measurement_id, s_name AS specimen_name, 'S' || s_suppkey || '.TAB' AS table_file, count(*) OVER (PARTITION BY id) > 1 AS duplicate FROM m""")
+def measurement_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of measurements among other labels, ids that come again marked; labels without a range are none."""
+    kind = F.when(F.col("s_suppkey") % 5 == 1, "data_chemistry").otherwise("data_reflectance")
+    span = F.when(F.col("s_suppkey") % 5 == 2, "").otherwise("<spectral_range_min>300</spectral_range_min><spectral_range_max>2600</spectral_range_max>")
+    label = F.format_string("<a><logical_identifier>urn:%s:%d:</logical_identifier><specimen_name>%s</specimen_name>%s<file_name>x.csv</file_name><file_name>S%d.TAB</file_name></a>", kind, F.col("s_suppkey") % 40, "s_name", span, "s_suppkey")
+    found, again = readers.measurements(readers.labels(table(spark, sf_dir, "supplier").select(*_content("s_suppkey", label))))
+    marked = found.join(again, "measurement_id", "left")
+    return marked.select("measurement_id", "specimen_name", "table_file", F.col("n").isNotNull().alias("duplicate"))

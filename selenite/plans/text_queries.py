@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.functions import text
+from selenite.functions import numeric, text
 from selenite.operators import documents, joins, sequences, spectral
 from selenite.streaming import incremental
 
@@ -163,3 +163,48 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each hour and kind by the windows that a stream has."""
     got = incremental.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
     return got.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("""
+WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN [c_custkey, c_custkey + 7] ELSE [] END AS refs, c_custkey * 3 AS own FROM customer), r AS (SELECT p_partkey FROM part), f AS (
+  SELECT c_custkey, p_partkey, 1 AS k FROM (SELECT c_custkey, unnest(refs) AS ref FROM l) JOIN r ON p_partkey = ref WHERE p_partkey % 3 <> 0
+  UNION ALL SELECT c_custkey, p_partkey, 2 FROM l JOIN r ON p_partkey = own WHERE p_partkey % 2 = 0), g AS (SELECT c_custkey, p_partkey, min(k) AS k FROM f GROUP BY ALL)
+SELECT c_custkey, p_partkey, CASE k WHEN 1 THEN 'reference' WHEN 2 THEN 'same' ELSE 'none' END AS rule FROM l LEFT JOIN g USING (c_custkey)""")
+def associated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a row refers to, then those of its own specimen, each by the earlier rule; rows without any stay."""
+    key = F.col("c_custkey")
+    left = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 4 > 0, F.array(key.cast("string"), F.concat(F.lit(" "), (key + 7).cast("string")))).otherwise(F.array().cast("array<string>")).alias("refs"), F.concat(F.lit("LR-"), (key * 3).cast("string"), F.lit(" ")).alias("own"))
+    part = F.col("p_partkey")
+    right = table(spark, sf_dir, "part").select("p_partkey", F.when(part % 3 != 0, part.cast("string")).otherwise("").alias("lid"), F.when(part % 2 == 0, F.concat(F.lit("lr-"), part.cast("string"))).alias("specimen"))
+    return joins.associated(left, right, "c_custkey", "refs", "own", ["p_partkey"], "lid", "specimen")
+
+
+@query("""
+WITH e AS (SELECT l_partkey AS id, l_quantity AS value, 'exact' AS kind, min(l_orderkey) AS source FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), p AS (SELECT l_partkey AS id, l_quantity AS value, 'parent' AS kind, max(l_suppkey) AS source FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)
+SELECT * FROM p UNION ALL SELECT * FROM e ANTI JOIN p USING (id, value)""")
+def overwritten_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact claims and those of the parent; of an equal key the parent's."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("value"), "l_returnflag", "l_orderkey", "l_suppkey")
+    exact = rows.where("l_returnflag = 'A'").groupBy("id", "value").agg(F.lit("exact").alias("kind"), F.min("l_orderkey").alias("source"))
+    parent = rows.where("l_returnflag <> 'A'").groupBy("id", "value").agg(F.lit("parent").alias("kind"), F.max("l_suppkey").alias("source"))
+    return joins.overwritten(exact, parent, ["id", "value"])
+
+
+@query("SELECT s_nationkey AS parent, s_suppkey, c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE c_custkey % 3 = 0")
+def pairs_of_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of two archives with one parent, where the viewing geometry is the standard one."""
+    left = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("parent"), "s_suppkey")
+    right = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("parent"), "c_custkey")
+    angle = F.when(F.col("c_custkey") % 3 == 0, 30.0).otherwise(F.when(F.col("c_custkey") % 3 == 1, 10.0))
+    return joins.parent_pairs(left, right, "parent", F.coalesce(numeric.standard_geometry(angle, F.lit(0.0), angle), F.lit(False))).select("parent", "s_suppkey", "c_custkey")
+
+
+@query("""
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Sample ' || page_id WHEN 1 THEN 'Full Catalogue' ELSE 'Notes' END AS text, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || CASE page_id % 3 WHEN 0 THEN '/compendium/' || page_id || '.PDF?v=2' WHEN 1 THEN '/c.pdf' ELSE '/n.pdf' END AS absolute,
+  CASE page_id % 3 WHEN 0 THEN 'compendium' WHEN 1 THEN 'catalog' ELSE 'other' END AS kind FROM pages""")
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages to documents of one ending, with their texts and kinds."""
+    key = F.col("page_id").cast("string")
+    more = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<a href='/compendium/"), key, F.lit(".PDF?v=2'>Sample <b>"), key, F.lit("</b></a>"))).when(F.col("page_id") % 3 == 1, '<a class="x" href="/c.pdf">Full\n Catalogue</a><a href="/pdf.html">no</a>').otherwise('<a href="/n.pdf">Notes')
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
+    return documents.document_links(pages, "page_id", "url", "html").drop("pos")

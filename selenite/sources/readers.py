@@ -106,10 +106,10 @@ def _label(path: str, content: bytes) -> list[dict]:
             fields.append({"name": got.get("name"), "number": int(got.get("field_number") or len(fields) + 1), "location": int(got.get("field_location") or 0), "length": int(got.get("field_length") or 0), "unit": got.get("unit")})
     table = next((e for e in root.iter() if _local(e.tag) in ("Table_Character", "Table_Delimited")), None)
     part = lambda name: next((int(x.text) for x in table.iter() if _local(x.tag) == name), None) if table is not None else None
-    return [{"identifier": first("logical_identifier"), "version": first("version_id"), "title": first("title"), "specimen_id": first("specimen_id"), "specimen_name": first("specimen_name"), "file_name": first("file_name"), "table_offset": part("offset"), "records": part("records"), "record_length": part("record_length"), "fields": fields, "references": list(dict.fromkeys(all_of("lid_reference")))}]
+    return [{"identifier": first("logical_identifier"), "version": first("version_id"), "title": first("title"), "specimen_id": first("specimen_id"), "specimen_name": first("specimen_name"), "range_least": first("spectral_range_min"), "range_most": first("spectral_range_max"), "file_name": first("file_name"), "files": all_of("file_name"), "table_offset": part("offset"), "records": part("records"), "record_length": part("record_length"), "fields": fields, "references": list(dict.fromkeys(all_of("lid_reference")))}]
 
 
-LABEL = "identifier string, version string, title string, specimen_id string, specimen_name string, file_name string, table_offset long, records long, record_length long, fields array<struct<name:string,number:int,location:int,length:int,unit:string>>, references array<string>"
+LABEL = "identifier string, version string, title string, specimen_id string, specimen_name string, range_least string, range_most string, file_name string, files array<string>, table_offset long, records long, record_length long, fields array<struct<name:string,number:int,location:int,length:int,unit:string>>, references array<string>"
 
 
 def labels(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -117,6 +117,15 @@ def labels(df: DataFrame, strict: bool = False) -> DataFrame:
     return _decoded(df, _label, LABEL, strict)
 
 
+def measurements(labelled: DataFrame, part: str = "data_reflectance") -> tuple[DataFrame, DataFrame]:
+    """Of labels, those of measurements, whose identifier has the part and which name a specimen and a spectral range, with
+    the measurement's id and its table file; and the ids that come more than once, with their numbers."""
+    known = labelled.where(F.contains("identifier", F.lit(part)) & F.col("specimen_name").isNotNull() & F.col("range_least").isNotNull() & F.col("range_most").isNotNull())
+    name = F.element_at(F.split(F.regexp_replace("identifier", ":+$", ""), ":"), -1)
+    found = known.select(name.alias("measurement_id"), F.get(F.filter("files", lambda x: F.lower(x).endswith(".tab")), F.lit(0)).alias("table_file"), *labelled.columns)
+    return found, found.groupBy("measurement_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 # Words that tell a spectral column's role.
 ROLES = {"wavelength": ("wavelength", "wavenumber"), "uncertainty": ("standarddeviation", "stddev", "uncertainty", "error"), "reflectance": ("reflectance",)}
 
