@@ -532,11 +532,21 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.score(rows.select("key", "x"), "x", models, learning.training_domain(x), 0, 1e6, 2, 1e3, 50).drop("x")
 
 
-@query()
+@query(_SEGMENTS + """,
+p AS (SELECT user_id, segment, value AS x, avg(sqrt(abs(value))) AS y FROM s GROUP BY ALL),
+d AS (SELECT *, count(*) OVER (PARTITION BY user_id, segment) AS n, (lead(x) OVER w) - x AS h, ((lead(y) OVER w) - y) / ((lead(x) OVER w) - x) AS d FROM p WINDOW w AS (PARTITION BY user_id, segment ORDER BY x)),
+e AS (SELECT *, lag(h) OVER w AS g, lag(d) OVER w AS c, coalesce(h, lag(h) OVER w) AS h0, coalesce(d, lag(d) OVER w) AS d0, CASE WHEN h IS NULL THEN lag(h, 2) OVER w ELSE lead(h) OVER w END AS h1, CASE WHEN h IS NULL THEN lag(d, 2) OVER w ELSE lead(d) OVER w END AS d1
+  FROM d WINDOW w AS (PARTITION BY user_id, segment ORDER BY x)),
+f AS (SELECT *, ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1) AS ending FROM e),
+m AS (SELECT *, CASE WHEN n = 2 THEN d0 WHEN c IS NOT NULL AND d IS NOT NULL THEN CASE WHEN c * d > 0 THEN 3 * (h + g) / ((2 * h + g) / c + (h + 2 * g) / d) ELSE 0 END
+  WHEN sign(ending) <> sign(d0) THEN 0 WHEN sign(d0) <> sign(d1) AND abs(ending) > 3 * abs(d0) THEN 3 * d0 ELSE ending END AS slope FROM f WHERE n >= 2),
+k AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(slope) OVER w AS slope1, (lead(x, 2) OVER w) IS NULL AS last FROM m WINDOW w AS (PARTITION BY user_id, segment ORDER BY x)),
+v AS (SELECT *, (place - x) / h AS t FROM k JOIN (SELECT unnest(range(0, 400, 10)) AS place) ON place >= x AND (place < x1 OR (last AND place = x1)))
+SELECT user_id, CAST(place AS DOUBLE) AS at, round(avg((1 + 2 * t) * (1 - t) ** 2 * y + t * (1 - t) ** 2 * h * slope + t ** 2 * (3 - 2 * t) * y1 + t ** 2 * (t - 1) * h * slope1), 6) AS value FROM v GROUP BY ALL""")
 def pchip_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monotone cubic values of each user's segments at whole numbers, averaged where segments overlap."""
     rows = _segments(spark, sf_dir).withColumn("y", F.sqrt(F.abs("value")))
-    return spectral.resample_segments(rows, "user_id", "value", "y", [float(k) for k in range(0, 400, 10)], "pchip")
+    return spectral.resample_segments(rows, "user_id", "value", "y", [float(k) for k in range(0, 400, 10)], "pchip").withColumn("value", _r(F.col("value")))
 
 
 @query()
