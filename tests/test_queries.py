@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import duckdb
 import pytest
 
@@ -37,6 +39,25 @@ def test_matches_sql(spark, con, name):
     assert rows and got == rows
 
 
+def test_bandpass_at_half_digits(spark, tmp_path):
+    """Responses that end with half a digit go up whatever the order of the sums, by fractions; half a band is usable."""
+    halves = (49, 325, 360, 376, 474, 607, 739, 854, 949)
+    got = duckdb.connect()
+    got.sql(f"""COPY (SELECT l_suppkey, l_shipdate, l_quantity FROM '/root/testdata/sf0.1/lineitem.parquet' WHERE l_suppkey IN {halves}
+        UNION ALL SELECT k, make_timestamp(2023, 1, 1, 0, 0, 0.0) + to_days(CAST(d - 1 AS INT)), 7.0 FROM range(5000, 5002) r(k), range(31, 76) s(d) WHERE d > 30 + k - 5000 AND (d < 60 OR d = 75)) TO '{tmp_path}/lineitem.parquet'""")
+    weights = {(d, b): Fraction(30 - abs(d - 30 * b), 30) for d in range(1, 367) for b in range(1, 13) if abs(d - 30 * b) < 30}
+    sums = {}
+    for k, d, q, n in got.sql(f"SELECT l_suppkey, dayofyear(l_shipdate), CAST(sum(l_quantity) AS BIGINT), count(*) FROM '{tmp_path}/lineitem.parquet' GROUP BY ALL").fetchall():
+        for b in range(1, 13):
+            w, (s, t) = weights.get((d, b), 0), sums.get((k, b), (0, 0))
+            sums[k, b] = (s + w * Fraction(q, n), t + w) if w else (s, t)
+    total = {b: sum(w for (_, x), w in weights.items() if x == b) for b in range(1, 13)}
+    up = lambda x: int(x * 10**6 + Fraction(1, 2)) / 10**6
+    want = {(k, b): (up(s / t), up(t / total[b]), t / total[b] >= Fraction(1, 2)) for (k, b), (s, t) in sums.items() if t}
+    rows = QUERIES["bandpass_weighted_mean"](spark, str(tmp_path)).collect()
+    assert {(r.l_suppkey, r.band): (r.response, r.coverage, r.usable) for r in rows} == want
+
+
 def test_catalogue_ids_of_every_key(spark, tmp_path):
     """A supplier's own id may be one of the note's; negative remainders have five digits too."""
     got = duckdb.connect()
