@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Wrappers that one task aligns before they go on as one; pages that must differ for equal texts to be a template; parts
-#: of a wrapper beyond which those on fewer than one page in RARE are left out of it (pages keep their text all the same).
-FOLD, DISTINCT, PARTS, RARE = 64, 4, 20_000, 200
+#: Wrappers that one task aligns before they go on as one, fewer (two at least) where these exceed BYTES in their packed
+#: form; pages that must differ for equal texts to be a template.
+FOLD, BYTES, DISTINCT = 64, 32_000_000, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.S)
@@ -70,37 +70,50 @@ class Block:
 
 
 class Tree:
-    """Parts of a page or a wrapper: parents come first, and no two parts of one parent have one name."""
+    """Parts of a page or a wrapper: parents come first, and no two parts of one parent have one name.
+
+    No part is left out, however many or rare they are. A part is optional where fewer pages have it than its parent, and
+    only a part that all pages have can have texts that all have; so an alignment costs what it adds, not the whole.
+    """
 
     def __init__(self) -> None:
         self.parents, self.names, self.at = [-1], [""], {}
-        self.repeated, self.mixed, self.optional = [False], [False], [False]
+        self.repeated, self.mixed = [False], [False]
         self.pages, self.text, self.link = [1], [0], [0]
-        self.common: list[dict[int, int]] = [{}]  # texts (hash, length) that every page has at the part
+        self.texts: dict[int, dict[int, int]] = {}  # by part: texts (hash, length) of all pages with it, until one lacks it
         self.distinct: list[int] = []  # hashes of up to DISTINCT different pages
 
     def part(self, parent: int, name: str, pages: int = 1) -> int:
         found = self.at.get((parent, name))
         if found is None:
             found = self.at[parent, name] = len(self.names)
-            for column, x in ((self.parents, parent), (self.names, name), (self.repeated, False), (self.mixed, False), (self.optional, False), (self.pages, pages), (self.text, 0), (self.link, 0), (self.common, {})):
+            for column, x in ((self.parents, parent), (self.names, name), (self.repeated, False), (self.mixed, False), (self.pages, pages), (self.text, 0), (self.link, 0)):
                 column.append(x)
         return found
 
+    def optional(self, part: int) -> bool:
+        return self.pages[part] < self.pages[self.parents[part]]
+
+    def common(self, part: int) -> dict[int, int]:
+        """Texts (hash, length) that every page of the wrapper has at the part."""
+        return self.texts.get(part, {}) if self.pages[part] == self.pages[0] else {}
+
     def packed(self) -> str:
-        return json.dumps([self.parents, self.names, self.repeated, self.mixed, self.optional, self.pages, self.text, self.link, [[*map(list, c.items())] for c in self.common], self.distinct], separators=(",", ":"))
+        common = [[k, *map(list, c.items())] for k in self.texts if (c := self.common(k))]
+        flags = [[int(x) for x in column] for column in (self.repeated, self.mixed)]
+        return json.dumps([self.parents, self.names, *flags, self.pages, self.text, self.link, common, self.distinct], separators=(",", ":"))
 
     @staticmethod
     def of(packed: str) -> Tree:
         out = Tree()
-        out.parents, out.names, out.repeated, out.mixed, out.optional, out.pages, out.text, out.link, common, out.distinct = json.loads(packed)
-        out.common = [dict(map(tuple, c)) for c in common]
+        out.parents, out.names, out.repeated, out.mixed, out.pages, out.text, out.link, common, out.distinct = json.loads(packed)
+        out.texts = {k: dict(map(tuple, c)) for k, *c in common}
         out.at = {(p, n): k for k, (p, n) in enumerate(zip(out.parents, out.names, strict=True)) if k}
         return out
 
     def slots(self) -> list[int]:
         """Text of each part and those in it that is neither link nor template, over all pages."""
-        mass = [max(0, t - 2 * li - (p * sum(c.values()) if len(self.distinct) >= DISTINCT else 0)) for t, li, p, c in zip(self.text, self.link, self.pages, self.common, strict=True)]
+        mass = [max(0, t - 2 * li - (p * sum(self.common(k).values()) if len(self.distinct) >= DISTINCT else 0)) for k, (t, li, p) in enumerate(zip(self.text, self.link, self.pages, strict=True))]
         for k in range(len(mass) - 1, 0, -1):
             mass[self.parents[k]] += mass[k]
         return mass
@@ -220,7 +233,7 @@ def skeleton(tree: Tree, found: list[Block]) -> Tree:
             used[block.part] = True
             tree.text[block.part] += len(block.text)
             tree.link[block.part] += block.link
-            tree.common[block.part][text_hash(block.text)] = len(block.text)
+            tree.texts.setdefault(block.part, {})[text_hash(block.text)] = len(block.text)
     for k in range(len(used) - 1, 0, -1):
         used[tree.parents[k]] |= used[k]
     tree.distinct = [text_hash("\n".join(b.text for b in found if not b.out))]
@@ -235,52 +248,42 @@ def _only(tree: Tree, used: list[bool]) -> Tree:
     for k, keep in enumerate(used):
         if keep:
             new[k] = out.part(new[tree.parents[k]], tree.names[k]) if k else 0
-            for column in ("repeated", "mixed", "optional", "pages", "text", "link", "common"):
+            for column in ("repeated", "mixed", "pages", "text", "link"):
                 getattr(out, column)[new[k]] = getattr(tree, column)[k]
+            if k in tree.texts:
+                out.texts[new[k]] = tree.texts[k]
     out.distinct = tree.distinct
     return out
 
 
 def aligned(a: Tree, b: Tree) -> Tree:
     """The wrapper a, resolved with the wrapper b of other pages of the host; a is changed."""
-    before = a.pages[0]
-    place, met, last = [0] * len(b.names), [False] * len(a.names), {}
+    place, last = [0] * len(b.names), {}
     a.pages[0] += b.pages[0]
     for k in range(len(b.names)):
+        at = 0
         if k:
             new = (place[b.parents[k]], b.names[k]) not in a.at
             place[k] = at = a.part(place[b.parents[k]], b.names[k], 0)
-            parent = a.parents[at]
-            if new:
-                a.optional[at] = a.pages[parent] > b.pages[b.parents[k]]
-                a.common[at] = {}
-            else:
-                met[at] = True
+            if not new:
+                parent = a.parents[at]
                 a.mixed[parent] |= last.get(parent, -1) > at  # the same parts in another order
                 last[parent] = at
-                a.common[at] = {h: n for h, n in a.common[at].items() if h in b.common[k]}
             a.pages[at] += b.pages[k]
-            a.optional[at] |= b.optional[k]
-        else:
-            at = 0
-            a.common[0] = {h: n for h, n in a.common[0].items() if h in b.common[0]}
+        if at in a.texts:
+            there = b.common(k)
+            a.texts[at] = {h: n for h, n in a.texts[at].items() if h in there}
         a.repeated[at] |= b.repeated[k]
         a.mixed[at] |= b.mixed[k]
         a.text[at] += b.text[k]
         a.link[at] += b.link[k]
-    for at in range(1, len(met)):
-        if not met[at]:
-            a.common[at] = {}
-            a.optional[at] = a.optional[at] or a.parents[at] == 0 or met[a.parents[at]]
     a.distinct = sorted({*a.distinct, *b.distinct})[:DISTINCT]
-    if len(a.names) > PARTS and before:
-        a = _only(a, [RARE * p >= a.pages[0] for p in a.pages])
     return a
 
 
 def expression(tree: Tree) -> str:
     """The wrapper as a union-free regular expression: #text is a slot, and texts of the template are counted."""
-    inner: list[list[str]] = [["#text"] if t > p * sum(c.values()) else [f"#fixed{len(c)}"] if c else [] for t, p, c in zip(tree.text, tree.pages, tree.common, strict=True)]
+    inner: list[list[str]] = [["#text"] if t > p * sum(c.values()) else [f"#fixed{len(c)}"] if c else [] for k, (t, p) in enumerate(zip(tree.text, tree.pages, strict=True)) for c in [tree.common(k)]]
     done: list[str] = [""] * len(tree.names)
     children: dict[int, list[int]] = {}
     for k in range(len(tree.names) - 1, -1, -1):
@@ -289,7 +292,7 @@ def expression(tree: Tree) -> str:
         inside = f"({inside})*" if tree.mixed[k] else inside
         if k:
             body = f"<{tree.names[k]}> {inside} </{tree.names[k].split('.')[0]}>"
-            mark = "*" if tree.repeated[k] and tree.optional[k] else "+" if tree.repeated[k] else "?" if tree.optional[k] else ""
+            mark = "*" if tree.repeated[k] and tree.optional(k) else "+" if tree.repeated[k] else "?" if tree.optional(k) else ""
             done[k] = f"({body}){mark}" if mark else body
             children.setdefault(tree.parents[k], []).append(k)
         else:
@@ -323,7 +326,7 @@ def host_rule(tree: Tree) -> tuple[list[str], list[int]]:
     inside = [k == part for k in range(len(tree.names))]
     for k in range(part + 1, len(tree.names)):
         inside[k] = inside[k] or inside[tree.parents[k]]
-    fixed = {h for k, c in enumerate(tree.common) if inside[k] for h in c} if len(tree.distinct) >= DISTINCT else set()
+    fixed = {h for k in tree.texts if inside[k] for h in tree.common(k)} if len(tree.distinct) >= DISTINCT else set()
     path = []
     while part:
         path.append(tree.names[part])
@@ -382,17 +385,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) of the hosts of pages(url, html)."""
     rows = pages.select(_host(F.col("url")).alias("host"), "html")
     found = materialize(rows.mapInArrow(_skeletons, "host string, wrapper string"), "skeletons")
-    while True:  # a host's wrappers are folded FOLD at a time, until each host has one
-        counts = materialize(found.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "counts")
+    while True:  # a host's wrappers are folded some at a time, until each host has one
+        at_once = F.greatest(F.lit(2), F.least(F.lit(FOLD), F.floor(BYTES / F.avg(F.length("wrapper")))))
+        counts = materialize(found.groupBy("host").agg(F.count(F.lit(1)).alias("n"), at_once.alias("at_once")), "counts")
         if not counts.where("n > 1").limit(1).count():
             return found
-        salted = found.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / FOLD)))
+        salted = found.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / F.col("at_once"))))
         found = materialize(salted.groupBy("host", "salt").applyInPandas(_fold, "host string, wrapper string"), "folded")
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [host_rule(Tree.of(x)) for x in batch.column("wrapper").to_pylist()]
+        found = [host_rule(Tree.of(x.as_py())) for x in batch.column("wrapper")]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([p for p, _ in found], pa.list_(pa.string())), pa.array([f for _, f in found], pa.list_(pa.int64()))], ["host", "path", "fixed"])
 
 

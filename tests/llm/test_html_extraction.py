@@ -2,6 +2,7 @@ import pytest
 
 from html.parser import HTMLParser
 
+from selenite.llm import html_extraction
 from selenite.llm.html_extraction import Tree, aligned, expression, extracted, host_rule, main_text, parsed, skeleton
 
 PAGE = """<!DOCTYPE html><html><head><title>No &amp; no</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head>
@@ -49,6 +50,28 @@ def test_lines_of_the_template():
     assert main_text(page(1), rule[0], frozenset(rule[1])).startswith("Share")
 
 
+def test_rare_parts_count():
+    """Text in parts that only one page has counts for the part around them, however many they are."""
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    whole = None
+    for i in range(335):
+        parts = "".join(f"<section class={word(60 * i + k)}>{i % 10}{k:03d}</section>" for k in range(60))
+        tree = skeleton(*parsed(f"<body><div class=one><p>Lines of {i}</p></div><div class=two>{parts}</div></body>"))
+        whole = tree if whole is None else aligned(whole, tree)
+    assert len(whole.names) == 5 + 335 * 60 and host_rule(whole)[0] == ["body", "div.two"]
+    assert host_rule(Tree.of(whole.packed()))[0] == ["body", "div.two"]
+
+
+def test_wrappers_folded_two_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(html_extraction, "BYTES", 1)
+    page = lambda i: f"<body><div class=c><p>Same line</p><p>Text {i} of some length</p></div><div class=x{i % 7 * 'y'}>z</div></body>"
+    frame = spark.createDataFrame([(f"http://h/{i}", page(i)) for i in range(50)], "url string, html string").repartition(9)
+    (row,) = html_extraction.wrappers(frame).collect()
+    tree = Tree.of(row.wrapper)
+    assert tree.pages[0] == 50 and sum(p for p, n in zip(tree.pages, tree.names) if n.startswith("div.x")) == 50
+    assert host_rule(tree)[0] == ["body", "div.c"] and len(host_rule(tree)[1]) == 1
+
+
 def test_words_within_class_words():
     keep = ("related-work", "search-algorithms", "notice-of-theorem", "adder", "menuhin", "commentary", "article-header")
     drop = ("related-posts", "search-box", "notice", "ad", "ad-slot", "site-nav", "comments", "comment-list", "cookie-banner", "site-header", "user-comments", "sidebar")
